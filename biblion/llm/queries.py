@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from biblion.llm import exact_dedup
+from biblion.llm import exact_dedup, license_scan, url_filter
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
+    "op8_url_filter": url_filter.op8_url_filter,
+}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_license_scan": license_scan.OP6_SQL, "op8_url_filter": url_filter.OP8_SQL}
