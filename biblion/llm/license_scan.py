@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm.license_texts import NOTICES, TEXTS
-from biblion.llm.shared import table, text_or_empty
+from biblion.llm.shared import literal_rows, table, text_or_empty
 
 MAX_BROADCAST_KEYS = 100_000
 
@@ -43,7 +43,7 @@ def canonical(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame:
     """license, digest of each known text; texts are few and short here, a larger list can be passed as a table."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    return literal_rows(spark, ["license", "text"], rows).select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
 
 
 def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

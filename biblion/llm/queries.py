@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from biblion.llm import exact_dedup, license_scan, url_filter
+from biblion.llm import ctw, decontaminate, exact_dedup, license_scan, near_dedup, quality, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_quality": quality.op4_quality,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op7_ctw": ctw.op7_ctw,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
+}
+ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_license_scan": license_scan.OP6_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_license_scan": license_scan.OP6_SQL, "op8_url_filter": url_filter.OP8_SQL}

@@ -36,3 +36,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def literal_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A table of few string rows as a plan literal."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows])))
