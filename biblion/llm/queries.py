@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from biblion.llm import ctw, decontaminate, exact_dedup, license_scan, near_dedup, quality, url_filter
+from biblion.llm import bpe, ctw, decontaminate, exact_dedup, license_scan, near_dedup, quality, token_files, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_files": token_files.op3_token_files,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_ctw": ctw.op7_ctw,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_bpe": bpe.op9_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLE_SQL = {

@@ -17,14 +17,16 @@ PIECE = 1 << 20
 BATCH = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_power = np.cumprod(np.concatenate([[1], np.full(255, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+_power = np.zeros(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
-    """n powers of the base."""
+    """n powers of the base, or more."""
     global _power
     if n > len(_power):
-        _power = np.cumprod(np.concatenate([[1], np.full(2 * n, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        base = np.full(max(256, 2 * n), _BASE, np.uint64)  # odd, so no power is 0 modulo 2**64
+        base[0] = 1
+        _power = np.cumprod(base, dtype=np.uint64)
     return _power
 
 
