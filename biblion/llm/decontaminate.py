@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm import textvec as tv
+from biblion.llm.identity import drop_rows, keyed, text_key
 from biblion.llm.shared import stash, table
 
 WINDOW, SHINGLE, FILTER_BITS, MAX_BROADCAST_ROWS = 10, 3, 1 << 24, 50_000
@@ -106,13 +107,13 @@ def _counts(sizes, bits):
     return run
 
 
-CANDIDATE = "row long, doc_id long, n_words long, fp long, place int, around_from int, around string"
+CANDIDATE = "row long, doc_id long, text_key long, n_words long, fp long, place int, around_from int, around string"
 
 
 def _candidates(sizes, bits, window):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for ids, texts in tv.batches(frames):
+        for ids, texts, keys in keyed(frames):
             buf, starts = tv.join(texts)
             s, e, first, at, found = _places(buf, starts, sizes, bits.value)
             rows = np.arange(row, row + len(ids))
@@ -126,6 +127,7 @@ def _candidates(sizes, bits, window):
             whole = [
                 pa.array(np.concatenate([rows, rows[doc]])),
                 pa.array([*ids, *(ids[d] for d in doc)], pa.int64()),
+                pa.array([*keys, *(keys[d] for d in doc)], pa.int64()),
                 pa.array(np.concatenate([n_words, n_words[doc]])),
                 pa.array([*[None] * none, *found.view(np.int64).tolist()], pa.int64()),
                 pa.array([*[None] * none, *(at - first[doc]).tolist()], pa.int32()),
@@ -138,15 +140,15 @@ def _candidates(sizes, bits, window):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, text_key."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
     by_item = stash(benchmark_windows(benchmark, window, shingle), "windows")
     sizes = sorted(r[0] for r in by_item.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect()) or [shingle]
 
     shingles = by_item.select(F.explode("fps").alias("fp")).distinct()
     bits = spark.sparkContext.broadcast(_bits(shingles))
-    counted = docs.mapInArrow(_counts(sizes, bits), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    counted = docs.select("doc_id", "text").mapInArrow(_counts(sizes, bits), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     counted = shingles.join(counted, "fp")
 
     # the rarest shingle of each distinct window; a window with a shingle that never occurs goes
@@ -179,10 +181,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.where("fp is null").join(hits, "row", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "text_key"
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents without a word of a benchmark window, all their columns as they are."""
+    return drop_rows(docs, decontaminate(docs, benchmark, **options).where("contaminated"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblion.llm.identity import drop_rows, text_key
 from biblion.llm.shared import stash, table, text_or_empty
 
 FAN_IN = 8
@@ -37,8 +38,9 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(text_or_empty(text_col)).alias("chars"),
         norm.alias("norm"),
         F.spark_partition_id().alias("run"),
+        F.xxhash64(text_or_empty(text_col)).alias("text_key"),
     ).select(
-        "id", "chars", "run",
+        "id", "chars", "run", "text_key",
         F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").alias("norm_len"), F.xxhash64("norm").alias("check"),
     )
 
@@ -46,14 +48,14 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """digest rows -> one row per distinct text: KEY, keep_id, group_size."""
     # (longest text, present id, smallest id) is the order of the identifiers: the least struct stays.
-    best = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id"))
+    best = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id"), F.col("text_key"))
     runs = rows.select("run", *KEY, best.alias("best"), F.lit(1).cast("long").alias("n"))
     last = rows.agg(F.max("run")).first()[0] or 0
     merge = lambda df: df.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
     while last > 0:
         runs = merge(runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")))
         last //= fan_in
-    return merge(runs.withColumn("run", F.lit(0))).select(*KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
+    return merge(runs.withColumn("run", F.lit(0))).select(*KEY, F.col("best.id").alias("keep_id"), F.col("best.text_key").alias("keep_key"), F.col("n").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
@@ -70,6 +72,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """The documents with one row of each group of equal texts, all columns as they are."""
+    rows = stash(digest_rows(docs), "digests")
+    many = merge_runs(rows, fan_in).where("group_size > 1")
+    own = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    grouped = rows.join(many, [*KEY]).select(F.col("id").alias("doc_id"), "text_key", own.alias("own"))
+    out = drop_rows(docs, grouped.where("not own"))
+    # the row that stays may itself be there several times
+    again = grouped.where("own").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = stash(again, "again")
+    if not again.limit(1).count():
+        return out
+    keyed = docs.withColumn("__key", text_key())
+    twice = keyed.join(again, (F.col("__key") == again["text_key"]) & keyed["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    return drop_rows(out, again).unionByName(twice.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

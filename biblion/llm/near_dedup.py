@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm import textvec as tv
+from biblion.llm.identity import drop_rows, keyed, text_key
 from biblion.llm.shared import stash, table
 
 WORDS, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 5, 64
@@ -112,13 +113,13 @@ def bands(signature: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out
 
 
-SIGNED = "row long, doc_id long, text_fp binary, bands array<long>, shingles binary"
+SIGNED = "row long, doc_id long, text_key long, text_fp binary, bands array<long>, shingles binary"
 
 
 def _sign(words: int, n_bands: int, rows_in_band: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for ids, texts in tv.batches(frames):
+        for ids, texts, keys in keyed(frames):
             buf, starts = tv.join(texts)
             fp, s, _ = tv.words(buf, tv.ALNUM)
             first = tv.per_doc(starts, s)
@@ -139,10 +140,10 @@ def _sign(words: int, n_bands: int, rows_in_band: int):
             text_fp = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
             flat = element.tobytes()
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(row, row + docs)), pa.array(ids, pa.int64()), pa.array(text_fp, pa.binary()),
+                pa.array(np.arange(row, row + docs)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(text_fp, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * n_bands), pa.array(key.reshape(-1))),
                 pa.array([flat[8 * a : 8 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-            ], names=["row", "doc_id", "text_fp", "bands", "shingles"])
+            ], names=["row", "doc_id", "text_key", "text_fp", "bands", "shingles"])
             row += docs
 
     return run
@@ -216,8 +217,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, n_copies (texts with the same words), kept (smallest of its class)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """One row per document: doc_id, class_id, n_copies (texts with the same words), kept (one row of its class), text_key."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
     signed = stash(docs.mapInArrow(_sign(words, n_bands, rows), SIGNED), "signed")
     # one text of each word sequence; the smallest (doc_id, row) speaks for it
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("least")
@@ -255,14 +256,20 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     if more.limit(1).count():
         label = components(links.unionByName(more))
 
-    text_class = texts.join(label, "node", "left").select("text_fp", "first_id", "n_copies", F.coalesce("label", "node").alias("label"))
-    ids = text_class.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    text_class = text_class.join(ids, "label").select("text_fp", "class_id", "n_copies")
-    own = F.coalesce("class_id", "doc_id")
-    return signed.select("row", "doc_id", "text_fp").join(text_class, "text_fp", "left").select(
-        "doc_id", own.alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept")
-    )
+    text_class = texts.join(label, "node", "left").select("text_fp", "first_id", "node", "n_copies", F.coalesce("label", "node").alias("label"))
+    ids = text_class.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("no"), "first_id", "node")).alias("k"))
+    text_class = text_class.join(ids, "label").select("text_fp", F.col("k.first_id").alias("class_id"), F.col("k.node").alias("keep_row"), "n_copies")
+    alone = F.col("keep_row").isNull()
+    return signed.select("row", "doc_id", "text_key", "text_fp").join(text_class, "text_fp", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_key",
+    )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents without the near copies of another one, all their columns as they are."""
+    return drop_rows(docs, near_classes(docs, **options).where("not kept"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_key")

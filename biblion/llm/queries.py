@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from biblion.llm import bpe, ctw, decontaminate, exact_dedup, license_scan, near_dedup, quality, token_files, url_filter
+from biblion.llm import bpe, ctw, decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_token_files": token_files.op3_token_files,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
