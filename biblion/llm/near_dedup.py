@@ -17,7 +17,8 @@ buckets with others (the likely original): rows in proportion to the members. Wh
 several components, its members are cut into blocks of BLOCK texts and pairs of blocks are compared inside a
 task, for the pairs of different components: no candidate is skipped, and what is shuffled grows by 1/BLOCK of
 the pairs. Buckets with equal members are compared once. Components come from label propagation with
-pointer jumping on tables; neither links nor labels are collected.
+pointer jumping on tables; neither links nor labels are collected. What is broadcast are the row numbers of
+bucket members, if they are MAX_BROADCAST_ROWS (8 MB) or fewer; beyond, their sets are found by a shuffled join.
 
 Edge cases. Null or empty text and text without words has no shingles: each such row is a class of its own
 (class_id its doc_id, n_copies 1), for nothing is known to be the same. The class id is the smallest doc_id of
@@ -40,7 +41,7 @@ from biblion.llm import textvec as tv
 from biblion.llm.identity import drop_rows, keyed, text_key
 from biblion.llm.shared import stash, table
 
-WORDS, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 5, 64
+WORDS, THRESHOLD, BANDS, ROWS, BLOCK, MAX_BROADCAST_ROWS = 5, 0.8, 20, 5, 64, 1_000_000
 #: Rank at which the first level ends; every further level doubles the rank.
 FIRST_RANK = 2.0**-6
 SCALE = 2.0**-53
@@ -235,7 +236,10 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     bucket = member.join(popular, "node").groupBy("band").agg(hub, F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("y"), F.max("members").alias("members"))
     bucket = bucket.groupBy("x", "y", "members").agg(F.min(F.struct("band", (-F.col("hub.minus")).alias("hub"))).alias("one"))
     bucket = stash(bucket.select(F.col("one.band").alias("band"), F.col("one.hub").alias("hub"), "members"), "buckets")
-    sets = signed.select(F.col("row").alias("node"), "shingles")
+    # only the sets of bucket members are moved: the others are left out before the shuffle where the members are few
+    needed = stash(member.select("node").distinct(), "needed")
+    needed = F.broadcast(needed) if needed.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else needed
+    sets = signed.select(F.col("row").alias("node"), "shingles").join(needed, "node", "left_semi")
 
     star = member.select("node", "band").join(bucket.select("band", "hub"), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     star = star.join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "right"}), "b")
