@@ -426,3 +426,79 @@ def listings(spark, sf):
 def grouped_report(spark, sf):
     w = joins.top_k(d.findings(spark, sf), ["rule", "severity"], [F.col("key"), F.col("line"), F.col("ord")], 6)
     return w.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line", "ord"))), lambda x: x["key"]), ",").alias("keys"))
+
+
+def _people(column):
+    """Two people made of words of the text: the same for exact copies."""
+    w = F.filter(F.split(F.substring(column, 1, 2000), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
+    name = lambda i: F.struct(F.initcap(F.coalesce(F.get(w, F.lit(i)), F.lit("Doe"))).alias("family"), F.initcap(F.coalesce(F.get(w, F.lit(i + 1)), F.lit("Jo"))).alias("given"), F.lit(None).cast("string").alias("literal"))
+    return F.array(name(2), name(4))
+
+
+def reference_tables(spark, sf):
+    """entries and records in the shapes of the scorer, from documents."""
+    people = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), _people(F.col("text")).alias("authors"))
+    none = F.lit(None).cast("string")
+    no_list = F.array().cast("array<string>")
+    b = d.bib(spark, sf).join(people, "ord")
+    entries = b.select(
+        "key", "title", "authors", F.lit(False).alias("truncated"), "year", "venue", F.lit(True).alias("venue_named"), F.lit(True).alias("journal"), none.alias("volume"), none.alias("first_page"), no_list.alias("issns"),
+        F.when(F.col("ord") % 5 != 0, F.col("doi")).alias("doi"), F.when(F.col("ord") % 13 == 0, "misc").otherwise("article").alias("entry_type"), F.lit(False).alias("live_identifier"), F.lit(False).alias("link_unindexed"), F.lit(False).alias("venue_known"), F.lit(False).alias("translated"),
+    )
+    r = d.registry(spark, sf).join(people, "ord")
+    swapped = F.when(F.col("ord") % 22 == 0, F.array(F.struct(F.lit("Nobody").alias("family"), F.lit("Quite").alias("given"), none.alias("literal")))).otherwise(F.col("authors"))
+    records = r.select(
+        F.when(F.col("source") == "other", "openalex").otherwise(F.col("source")).alias("source"), "source_id", "title", no_list.alias("alt_titles"), swapped.alias("authors"), F.lit(True).alias("authors_complete"), F.lit(True).alias("authors_ordered"),
+        F.array("year").alias("years"), "venue", F.lit("journal-article").alias("work_type"), none.alias("volume"), "doi", F.lit(False).alias("reissue"), no_list.alias("issns"), F.lit(True).alias("versions_known"), F.create_map(F.lit("doi"), F.col("doi")).alias("identifiers"),
+    )
+    return entries, records
+
+
+def assess(spark, sf, current_year=2024):
+    from biblion.operators import resolve, scoring, verdict
+
+    entries, records = reference_tables(spark, sf)
+    ids = entries.where("doi is not null").select("key", F.lit(0).alias("ord"), F.lit("doi").alias("scheme"), F.col("doi").alias("value"))
+    anchored = resolve.anchor(ids, records)
+    found = resolve.search(entries, records, anchored)
+    pairs = anchored.unionByName(found, allowMissingColumns=True)
+    sources = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(up).alias("available"), F.lit(None if up else "SOURCES_UNAVAILABLE").cast("string").alias("reason")) for s, up in (("crossref", True), ("datacite", True), ("openalex", True), ("dblp", True))])))
+    scored = scoring.score_pairs(pairs, entries, records.drop("identifiers"), current_year).withColumn("versions_known", F.col("r_versions_known"))
+    return verdict.decide(entries, scored, resolve.answers(entries, pairs, sources), current_year)
+
+
+@query()
+def verdicts(spark, sf):
+    """The flagship: one verdict per reference, with its reasons and the record it was bound to."""
+    out, _ = assess(spark, sf)
+    return out.select("key", "verdict", F.array_join("reasons", ",").alias("reasons"), "source", "source_id", "by")
+
+
+@query()
+def reference_findings(spark, sf):
+    """The findings of the same run."""
+    _, findings = assess(spark, sf)
+    return findings.select("rule", "severity", "key", "field", "note")
+
+
+@query()
+def indel_similarity(spark, sf):
+    """Titles of equal year, scored by the Indel ratio where the lossless bounds let them through."""
+    from biblion.functions.similarity import ratio
+
+    b = d.bib(spark, sf).select("key", "year", text.title_key(F.col("title")).alias("tk")).where("tk <> ''")
+    other = b.select(F.col("key").alias("other"), "year", F.col("tk").alias("ok"))
+    pairs = joins.blocked_pairs(b, other, ["year"], "tk", "ok", 0.9).where("key < other")
+    equal = pairs.where("tk = ok").select("key", "other", F.lit(1.0).alias("score"))
+    return equal.unionByName(pairs.where("tk <> ok").select("key", "other", F.round(ratio(F.col("tk"), F.col("ok")), 6).alias("score")))
+
+
+@query()
+def author_pairing(spark, sf):
+    """Authors of each entry against the record that shares its DOI."""
+    from biblion.operators.scoring import author_check
+
+    e, r = reference_tables(spark, sf)
+    pairs = e.join(r.select("doi", "source_id", F.col("authors").alias("ra")), "doi").where("ra is not null")
+    a = pairs.select("key", "source_id", author_check("authors", "truncated", "ra", F.lit(True), F.lit(True)).alias("a"))
+    return a.select("key", "source_id", "a.status", F.round("a.overlap", 6).alias("overlap"), "a.first", "a.disjoint")
