@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from biblion.functions.text import fold
+from biblion.tables import let
 
 # Venues with the names that mean them; the first that fits wins.
 VENUES = (
@@ -66,15 +67,17 @@ def _named(name: Column, pattern: tuple[str, ...]) -> Column:
 
 def canonical(c: Column, venues=VENUES) -> Column:
     """The first venue that a name means; null if it means none."""
-    name, out = venue_text(c), F.lit(None).cast("string")
-    for key, patterns in reversed(venues):
-        out = F.when(_named(name, patterns), key).otherwise(out)
-    return out
+    return F.get(all_canonical(c, venues), F.lit(0))
 
 
 def all_canonical(c: Column, venues=VENUES) -> Column:
-    name = venue_text(c)
-    return F.array_compact(F.array(*[F.when(_named(name, patterns), key) for key, patterns in venues]))
+    """Every venue that a name means, in the order of the table."""
+    return let(venue_text(c), lambda name: F.array_compact(F.array(*[F.when(_named(name, patterns), key) for key, patterns in venues])))
+
+
+def features(c: Column) -> Column:
+    """What comparisons need of a name, computed once per entry or record."""
+    return F.struct(c.alias("name"), all_canonical(c).alias("all"), venue_words(c).alias("words"), F.lower(F.regexp_replace(c, r"[^A-Za-z]", "")).alias("letters"))
 
 
 def venue_words(c: Column) -> Column:
@@ -97,6 +100,4 @@ def venue_core(c: Column) -> Column:
 
 
 def names_year(venue: Column, year: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(venue, F.lit(r"((?:19|20)\d\d)"), 1), F.array().cast("array<string>")).cast("array<int>").isNotNull() & F.array_contains(
-        F.coalesce(F.regexp_extract_all(venue, F.lit(r"((?:19|20)\d\d)"), 1), F.array().cast("array<string>")).cast("array<int>"), year
-    )
+    return F.coalesce(F.array_contains(F.regexp_extract_all(venue, F.lit(r"((?:19|20)\d\d)"), 1), year.cast("string")), F.lit(False))

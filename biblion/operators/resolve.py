@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from biblion.functions import idents
 from biblion.functions.text import title_key
 from biblion.operators import joins
+from biblion.tables import stash
 
 # Hosts whose papers the sources index, entry types, and cut-offs.
 INDEXED_HOSTS = tuple(
@@ -80,6 +81,7 @@ def search(entries: DataFrame, records: DataFrame, anchored: DataFrame, rows: in
     """Candidates by title for entries that no identifier anchors: equal or prefixed keys, and shared rare words."""
     todo = entries.join(anchored.select("key"), "key", "left_anti").where("title is not null and title <> ''").select("key", "title").withColumn("title_key", title_key(F.col("title")))
     recs = records.select("source", "source_id", "title", F.concat_ws("|", "source", "source_id").alias("rid")).withColumn("title_key", title_key(F.col("title")))
+    todo, recs = stash(todo, "todo"), stash(recs, "titles")
     by_prefix = joins.prefix_join(todo.select("key", "title_key"), recs.select("rid", "title_key")).select("key", "rid")
     by_words = joins.rare_token_pairs(todo.select("key", "title"), recs.select(F.col("rid").alias("source_id"), "title")).select("key", F.col("source_id").alias("rid"))
     pairs = by_prefix.union(by_words).distinct().join(todo.select("key", "title_key"), "key").join(recs.select("rid", "source", "source_id", F.col("title_key").alias("rk")), "rid")

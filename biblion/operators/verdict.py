@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from biblion.functions.text import has_han, non_latin, title_key
 from biblion.operators.resolve import GREY_TYPES, looks_cs
+from biblion.tables import stash
 
 # Fixed values.
 LEAST_WORDS, YEAR_GAP, TITLE_ONLY, TITLE_ANY_YEAR, VENUE_TITLE, REWORDED, REWORDED_SCORE, OLD = 5, 3, 6, 8, 4, 2, 0.85, 1990
@@ -48,7 +49,7 @@ def rungs(current_year: int) -> list[Column]:
     sound = ~F.col("suspicious") & ~F.col("wrong_paper")
     gap = F.coalesce(F.col("gap"), F.lit(0))
     words = F.col("title_words")
-    key, record = title_key(F.col("title")), F.col("work")
+    key, record = F.col("title_key"), F.col("work")
     changed = F.aggregate("t.changed", F.lit(0), lambda n, x: n + F.greatest(F.size(F.split(x["ours"], " ")), F.size(F.split(x["theirs"], " "))))
     longer = record.startswith(F.concat(key, F.lit(" ")))
     people = F.size(F.filter("authors", lambda p: _yes(F.length(p["family"]) > 0)))
@@ -179,19 +180,18 @@ def decide(entries: DataFrame, scored: DataFrame, answers: DataFrame, current_ye
 
     dead(key, value): identifiers that their authority says do not exist.
     """
-    spark = entries.sparkSession
-    dead = dead if dead is not None else spark.createDataFrame([], "key string, value string")
-    tied = bind(scored, current_year)
+    dead = dead if dead is not None else entries.limit(0).select("key", F.lit("").alias("value"))
+    tied = stash(bind(scored, current_year), "bound")
     pairs = tied.where("bound is not null").select("key", "bound.*").join(scored, ["key", "source", "source_id"])
     pairs = pairs.dropDuplicates(["key"])
-    fields = field_findings(pairs)
+    fields = stash(field_findings(pairs), "fields")
     wrong = fields.where(F.col("rule").isin("REF010", "REF011", "REF012", "REF013", "REF014", "REF020") & (F.col("severity") != "info")).select("key").distinct().withColumn("wrong", F.lit(True))
     agree = pairs.select("key", (F.col("t.status").isin("match", "variant").cast("int") + F.col("a.status").isin("match", "variant").cast("int") + F.col("year_status").isin("match", "variant").cast("int")).alias("agree"))
     gone = dead.groupBy("key").agg(F.min("value").alias("gone"))
     e = entries.join(tied, "key", "left").join(wrong, "key", "left").join(agree, "key", "left").join(gone, "key", "left")
     loose = e.where("bound is null and not coalesce(conflict, false)")
     why = abstentions(loose.drop("corrupted", "ambiguous").join(tied.select("key", "corrupted", "ambiguous"), "key", "left"), answers, current_year)
-    e = e.join(why, "key", "left")
+    e = e.join(stash(why, "reasons"), "key", "left")
     verdict = (
         F.when(_yes(F.col("conflict")), "identifier_conflict")
         .when(F.col("bound").isNotNull(), F.when(_yes(F.col("wrong")) | F.col("gone").isNotNull(), "metadata_mismatch").when(F.col("agree") >= 2, "verified").otherwise("cannot_determine"))
@@ -199,7 +199,7 @@ def decide(entries: DataFrame, scored: DataFrame, answers: DataFrame, current_ye
     )
     none = F.array().cast("array<string>")
     reasons = F.when(F.col("bound").isNotNull() & (verdict == "cannot_determine"), F.array(F.lit("INSUFFICIENT_METADATA"))).when(verdict == "cannot_determine", F.col("reasons")).otherwise(none)
-    out = e.select("key", verdict.alias("verdict"), reasons.alias("reasons"), "bound.source", "bound.source_id", "bound.by")
+    out = stash(e.select("key", verdict.alias("verdict"), reasons.alias("reasons"), "bound.source", "bound.source_id", "bound.by"), "assessments")
     row = lambda df, rule, severity, field, note: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key", F.lit(field).cast("string").alias("field"), note.alias("note"))
     nothing = F.lit(None).cast("string")
     findings = (
