@@ -168,7 +168,8 @@ def _read(folder: str):
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    return manifest.repartition("part").mapInArrow(_read(folder), READ)
+    # a number of partitions is named, else the few narrow rows would be put together in one task that reads every file
+    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(_read(folder), READ)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
