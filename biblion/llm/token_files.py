@@ -62,7 +62,7 @@ class Chunks(dict):
                 out = self[low]
             else:
                 out = self.encode(chunk)
-        elif m := WORD_AND_MARKS.fullmatch(chunk):  # letters end where marks begin
+        elif (m := WORD_AND_MARKS.fullmatch(chunk)) and m[1].lower().isalpha():  # letters end where marks begin
             out = self[m[1]] + self[m[2]]
         else:
             out = self.encode(chunk)
