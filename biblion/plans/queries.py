@@ -502,3 +502,99 @@ def author_pairing(spark, sf):
     pairs = e.join(r.select("doi", "source_id", F.col("authors").alias("ra")), "doi").where("ra is not null")
     a = pairs.select("key", "source_id", author_check("authors", "truncated", "ra", F.lit(True), F.lit(True)).alias("a"))
     return a.select("key", "source_id", "a.status", F.round("a.overlap", 6).alias("overlap"), "a.first", "a.disjoint")
+
+
+
+def _clean_bib(spark, sf):
+    return d.bib(spark, sf).withColumn("title", F.trim(F.regexp_replace("title", r'[{}"\\]', "")))
+
+
+def _as_files(df, text_column, suffix):
+    return df.select(F.concat("key", F.lit(suffix)).alias("file"), F.encode(text_column, "UTF-8").alias("content"))
+
+
+_BIB_ROWS = f"""select key, trim(regexp_replace(title, '[{{}}"\\\\]', '', 'g')) as title, cast(year as varchar) as year from {BIB}"""
+
+
+@query(_BIB_ROWS)
+def bibtex_scan(spark, sf):
+    """Entries written as BibTeX and read back."""
+    from biblion.sources import scan
+
+    text_ = F.concat(F.lit("@string{y = "), F.lit('"'), F.col("year").cast("string"), F.lit('"}\n@article{'), "key", F.lit(",\n  title = {"), "title", F.lit("},\n  year = y # \"\",\n}\n"))
+    got = scan.entries(_as_files(_clean_bib(spark, sf), text_, ".bib"))
+    return got.select("key", F.trim(F.col("fields")["title"]["value"]).alias("title"), F.col("fields")["year"]["value"].alias("year"))
+
+
+@query(_BIB_ROWS)
+def ris_scan(spark, sf):
+    from biblion.sources import scan
+
+    text_ = F.concat(F.lit("TY  - JOUR\nID  - "), "key", F.lit("\nTI  - "), "title", F.lit("\nPY  - "), F.col("year").cast("string"), F.lit("/01/02\nER  - \n"))
+    got = scan.entries(_as_files(_clean_bib(spark, sf), text_, ".ris"))
+    return got.select("key", F.coalesce(F.col("fields")["title"]["value"], F.lit("")).alias("title"), F.col("fields")["year"]["value"].alias("year"))
+
+
+@query(_BIB_ROWS)
+def csl_scan(spark, sf):
+    from biblion.sources import scan
+
+    item = F.struct(F.col("key").alias("id"), F.lit("article-journal").alias("type"), "title", F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"))
+    got = scan.entries(_as_files(_clean_bib(spark, sf), F.to_json(F.array(item)), ".json"))
+    return got.select("key", F.coalesce(F.col("fields")["title"]["value"], F.lit("")).alias("title"), F.col("fields")["year"]["value"].alias("year"))
+
+
+@query(f"select 't' || cast(line as varchar) as file, key, 1 as line from {CITES} where line % 50 = 0")
+def latex_cites(spark, sf):
+    """Citations written as LaTeX, with a comment and a verbatim part that hold none."""
+    from biblion.sources import scan
+
+    c = d.cites(spark, sf).where("line % 50 = 0").withColumn("own", F.concat(F.lit("t"), F.col("line").cast("string")))
+    body = F.concat(F.lit("See \\citep[p.~2]{"), "key", F.lit("}. % \\cite{no}\n\\verb|\\cite{no}|\n"))
+    got = scan.cites(c.select(F.concat("own", F.lit(".tex")).alias("file"), F.encode(body, "UTF-8").alias("content")))
+    return got.select(F.regexp_replace("file", r"\.tex$", "").alias("file"), "key", "line")
+
+
+@query(f"select lower(doi) as source_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title, min(year) as year, count(*) as n from {BIB} group by all")
+def crossref_records(spark, sf):
+    """Registry answers in JSON, normalised to records."""
+    from biblion.sources import registries
+
+    work = F.struct(F.col("doi").alias("DOI"), F.array("title").alias("title"), F.lit("journal-article").alias("type"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"))
+    got = registries.normalise_json(d.bib(spark, sf).select(F.to_json(work).alias("payload")), "crossref")
+    return got.groupBy("source_id", "title").agg(F.min("year").alias("year"), F.count("*").alias("n"))
+
+
+@query(f"select key, 'doi' as scheme, doi as value from {BIB} union all select key, 'arxiv', lpad(cast(1000 + ord % 9000 as varchar), 4, '0') || '.' || lpad(cast(ord % 100000 as varchar), 5, '0') from {BIB}")
+def entry_identifiers(spark, sf):
+    """DOIs and arXiv ids out of fields that write them loosely."""
+    from biblion.operators import resolve
+
+    number = F.concat(F.lpad((1000 + F.col("ord") % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((F.col("ord") % 100000).cast("string"), 5, "0"))
+    fields = F.create_map(F.lit("doi"), F.concat(F.lit("https://doi.org/"), F.upper("doi"), F.lit(".")), F.lit("note"), F.concat(F.lit("also arXiv:"), number, F.lit("v2")))
+    return resolve.identifiers(d.bib(spark, sf).select("key", fields.alias("fields"))).select("key", "scheme", "value")
+
+
+@query(f"""with f as (select rule, severity, key, field from {FINDINGS})
+select rule, case when rule = 'REF012' then 'error' else severity end as severity, count(*) as n from f where rule not in ('REF013') and key not like 'k1%' group by all""")
+def settings_applied(spark, sf):
+    f = hygiene.apply_settings(d.findings(spark, sf), ["REF013"], ["k1*"], {"REF012": "error"})
+    return f.groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("""select max(case severity when 'error' then 3 when 'warning' then 2 else 1 end) >= 3 as blocking from """ + FINDINGS)
+def blocking(spark, sf):
+    from biblion.operators.verdict import has_blocking
+
+    return has_blocking(d.findings(spark, sf), "error")
+
+
+@query("""with w as (select o_custkey, o_orderkey from orders where o_orderkey % 3 = 0), v as (select o_custkey from orders where o_orderkey % 3 = 1)
+select o_custkey as key, cast(o_orderkey as varchar) as person from w where not exists (select 1 from orders o where o.o_custkey = w.o_custkey and o.o_orderkey % 3 = 1 and o.o_orderkey = w.o_orderkey + 1)""")
+def missing_everywhere(spark, sf):
+    from biblion.operators import verdict
+
+    o = table(spark, sf, "orders")
+    missing = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("person"))
+    others = o.where("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") - 1).cast("string").alias("person"))
+    return verdict.missing_everywhere(missing, others)
