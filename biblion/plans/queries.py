@@ -598,3 +598,61 @@ def missing_everywhere(spark, sf):
     missing = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("person"))
     others = o.where("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") - 1).cast("string").alias("person"))
     return verdict.missing_everywhere(missing, others)
+
+
+@query(f"""with p as (select b.key, b.doi, b.year, r.year as ry from {BIB} b join {REGISTRY} r using (doi) where abs(b.year - r.year) between 1 and 2),
+m as (select doi, list_sort(list_distinct(list(year))) as ys from {BIB} group by doi)
+select key, ry, array_to_string(list_sort(list_distinct(list_concat([ry], ys))), ',') as years from p left join m using (doi)""")
+def registered_years(spark, sf):
+    from biblion.operators import late
+
+    b = d.bib(spark, sf)
+    pairs = b.select("key", "doi", "year").join(d.registry(spark, sf).select("doi", F.col("year").alias("ry")), "doi").withColumn("years", F.array("ry"))
+    out = late.registered_years(pairs, b.groupBy("doi").agg(F.collect_set("year").alias("years")))
+    return out.select("key", "ry", F.array_join("years", ",").alias("years"))
+
+
+@query("""with l as (select c_custkey as id, c_custkey % 4 + 1 as version from customer), k as (select l_orderkey as id, l_linenumber as version, max(l_quantity) as quantity from lineitem group by all)
+select id, version, quantity from (select id, unnest(range(1, version + 1)) as version from l) left join k using (id, version)""")
+def all_versions(spark, sf):
+    from biblion.operators import late
+
+    latest = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 4 + 1).alias("version"))
+    known = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("version")).agg(F.max("l_quantity").alias("quantity"))
+    return late.versions(latest, known)
+
+
+@query("""select doc_id as key, case when regexp_replace(source, '^src', '') in ('1', '3', '5') then 0 when regexp_replace(source, '^src', '') in ('2', '3', '4') then 1 end as catalogue from documents""")
+def venue_known(spark, sf):
+    from biblion.operators import late
+
+    names = lambda *n: spark.range(1).select(F.explode(F.array(*[F.lit(f"Proceedings of the src{i} 2019") for i in n])).alias("name"))
+    return late.venue_known(table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Journal of "), "source").alias("venue")), names(1, 3, 5), names(2, 3, 4))
+
+
+@query("""select page_id, url from pages p where page_id % 5 in (0, 1) and page_id % 10 <> 1""")
+def gone_pages(spark, sf):
+    from biblion.operators import late
+
+    p = table(spark, sf, "pages").select("page_id", "url")
+    keyed = p.withColumn("own", F.concat_ws("|", "url", "page_id"))
+    status = keyed.select(F.col("own").alias("url"), F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 5 == 1, 410).when(F.col("page_id") % 5 == 2, 503).otherwise(200).alias("code"))
+    archived = keyed.where("page_id % 10 = 1").select(F.col("own").alias("url"))
+    return late.gone_pages(keyed.select("page_id", F.col("own").alias("url")), status, archived).select("page_id", F.regexp_replace("url", r"\|\d+$", "").alias("url"))
+
+
+@query("""select cast(user_id % 7 as varchar) as source, count(*) as requests, count_if(event_type = 'click') as hit, count_if(event_type = 'view') as negative, count_if(event_type not in ('click', 'view')) as unavailable from events group by 1""")
+def source_counters(spark, sf):
+    from biblion.operators import late
+
+    r = table(spark, sf, "events").select((F.col("user_id") % 7).cast("string").alias("source"), F.when(F.col("event_type") == "click", "hit").when(F.col("event_type") == "view", "negative").otherwise("unavailable").alias("outcome"), F.col("event_type").alias("reason"))
+    return late.source_counters(r).drop("reasons")
+
+
+@query("""with a as (select o_orderpriority as source, o_custkey as key, case when o_orderstatus = 'O' then 'unavailable' else 'negative' end as outcome, o_orderstatus as reason from orders)
+select 'RUN001' as rule, 'warning' as severity, source, count(distinct key) as affected, string_agg(distinct reason, ', ' order by reason) as reasons from a where outcome = 'unavailable' group by source""")
+def run_findings(spark, sf):
+    from biblion.operators import resolve
+
+    a = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "O", "unavailable").otherwise("negative").alias("outcome"), F.col("o_orderstatus").alias("reason"))
+    return resolve.run_findings(a)
