@@ -100,6 +100,14 @@ def suppressed(findings: DataFrame, entries: DataFrame) -> DataFrame:
     return kept.unionByName(_finding(idle, "CFG001", F.concat(F.lit("ignores "), "rule", F.lit(", which reported nothing"))))
 
 
+def _published(bound: DataFrame, records: DataFrame) -> DataFrame:
+    """REF015: a cited preprint with a published record of the same title and first author."""
+    first = F.lower(F.coalesce(F.get("authors", F.lit(0))["family"], F.get("authors", F.lit(0))["literal"]))
+    preprint = F.coalesce((F.col("source") == "arxiv") | F.col("work_type").isin(*scoring.PREPRINT_TYPES), F.lit(False))
+    keyed = lambda df: df.withColumns({"title_key": title_key(F.col("title")), "author": first}).where("title_key <> '' and author is not null")
+    return verdict.published_versions(keyed(bound.where(preprint)).select("key", "title_key", "author"), keyed(records.where(~preprint)).select("title_key", "author", "source_id", "year", "venue"))
+
+
 def check(spark: SparkSession, path: str, records: DataFrame | None = None, sources: DataFrame | None = None, current_year: int = 2024) -> Report:
     """path: a folder; records: registry records (biblion.sources.registries), without which only the offline rules run;
     sources(source, available, reason): which registries could be asked."""
@@ -120,6 +128,10 @@ def check(spark: SparkSession, path: str, records: DataFrame | None = None, sour
     own = records.withColumn("doi", F.col("identifiers")["doi"]).drop("identifiers", "status", "issue", "pages", "publisher", "url", "year")
     scored = scoring.score_pairs(pairs, info, own, current_year).withColumn("versions_known", F.col("source") != "arxiv")
     assessments, about = verdict.decide(info.withColumns(flags), scored, resolve.answers(info, pairs, sources), current_year)
+    bound = stash(assessments.where("source is not null").select("key", "source", "source_id").join(records, ["source", "source_id"]), "bound")
+    told = records.where(F.size("status") > 0).select("source", F.col("identifiers")["doi"].alias("doi"), "status").where("doi is not null")
+    about = about.unionByName(verdict.status_findings(bound.select("key", F.col("identifiers")["doi"].alias("doi")), told))
+    about = about.unionByName(_published(bound, records))
     placed = about.join(info.select("key", "file", "line"), "key").select("rule", "severity", "key", "field", "file", "line", F.col("note").alias("message"))
     return Report(entries, cites, suppressed(findings.unionByName(placed), entries), assessments)
 

@@ -11,25 +11,28 @@ BIB = """@article{good, author = {Lee, Ann and Kim, Bo}, title = {A Careful Stud
 % refcheck: ignore CIT003 -- kept
 @article{lost, author = {Roe, Ann and Poe, Bo}, title = {Nothing Whatsoever Is Known About This One}, journal = {Journal of Things}, year = {2011}}
 @article{year, author = {May, Sue}, title = {On the Years of Publication of Various Works}, journal = {Journal of Things}, year = {1999}, doi = {10.1234/year}}
+@misc{pre, author = {Fox, Al}, title = {Preprints and What Becomes of Them Later}, year = {2015}, eprint = {1501.00001}, archiveprefix = {arXiv}}
 """
 WORKS = [
-    ("10.1234/good", "A careful study of many interesting things", [("Ann", "Lee"), ("Bo", "Kim")], 2010), ("10.1234/other", "Entirely different matters in another field", [("Zoe", "Xu")], 1990), ("10.1234/year", "On the Years of Publication of Various Works", [("Sue", "May")], 2005)
+    ("10.1234/good", "A careful study of many interesting things", [("Ann", "Lee"), ("Bo", "Kim")], 2010), ("10.1234/other", "Entirely different matters in another field", [("Zoe", "Xu")], 1990), ("10.1234/year", "On the Years of Publication of Various Works", [("Sue", "May")], 2005), ("10.1234/pub", "Preprints and What Becomes of Them Later", [("Al", "Fox")], 2016)
 ]
 
 
 def records(spark):
     rows = [(d, [t], [(g, f, None) for g, f in a], ([[y]],)) for d, t, a, y in WORKS]
     df = spark.createDataFrame(rows, "DOI string, title array<string>, author array<struct<given:string,family:string,name:string>>, issued struct<`date-parts`:array<array<int>>>").withColumns({"type": F.lit("journal-article"), "container-title": F.array(F.lit("Journal of Things"))})
-    return registries.normalise_json(df.select(F.to_json(F.struct("*")).alias("payload")), "crossref")
+    df = df.withColumn("updated-by", F.when(F.col("DOI") == "10.1234/good", F.array(F.struct(F.lit("retraction").alias("type")))))
+    preprint = spark.createDataFrame([("1501.00001", 1, "Preprints and what becomes of them later", ["Al Fox"], "2015-01-01", "2015-01-02", None, None, None)], "id string, version int, title string, names array<string>, published string, updated string, comment string, journal_ref string, doi string")
+    return registries.normalise_json(df.select(F.to_json(F.struct("*")).alias("payload")), "crossref").unionByName(registries.arxiv(preprint))
 
 
 def test_project(spark, tmp_path):
     (tmp_path / "refs.bib").write_text(BIB)
     (tmp_path / "main.tex").write_text("\\cite{good,wrong,year} and \\cite{gone} \\bibliography{refs}")
     report = check(spark, f"file://{tmp_path}", records(spark))
-    assert {r.key: r.verdict for r in report.assessments.collect()} == {"good": "verified", "wrong": "identifier_conflict", "lost": "not_found", "year": "metadata_mismatch"}
+    assert {r.key: r.verdict for r in report.assessments.collect()} == {"good": "verified", "wrong": "identifier_conflict", "lost": "not_found", "year": "metadata_mismatch", "pre": "verified"}
     got = {(r.rule, r.key) for r in report.findings.collect()}
-    assert {("CIT001", "gone"), ("REF001", "wrong"), ("REF003", "lost"), ("REF013", "year"), ("CIT004", "wrong")} <= got and ("CIT003", "lost") not in got
+    assert {("CIT001", "gone"), ("REF001", "wrong"), ("REF003", "lost"), ("REF013", "year"), ("CIT004", "wrong"), ("REF004", "good"), ("REF015", "pre")} <= got and ("CIT003", "lost") not in got
     down = spark.createDataFrame([("crossref", False, "SOURCES_UNAVAILABLE")], "source string, available boolean, reason string")
     again = {r.key: (r.verdict, r.reasons) for r in check(spark, f"file://{tmp_path}", records(spark), down).assessments.collect()}
     assert again["lost"] == ("cannot_determine", ["SOURCES_UNAVAILABLE"]) and again["good"][0] == "verified"
