@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,12 @@ def fold_text(s: str) -> str:
 
 def key_words(title: str) -> list[str]:
     """The words of a title's key, in Python (the column form is functions.text.title_key)."""
+    return list(_key_words(title))
+
+
+@lru_cache(8192)
+def _key_words(title: str) -> tuple[str, ...]:
+    # a title is compared with many others, several times each
     plain = re.sub(r"_\s*(?:[⋆★*]|star\b)", " ", title, flags=re.I).replace("_", " ").replace("×", "x")
     key = " ".join(re.findall(r"\w+", fold_text(plain)))
     for pattern, to in (
@@ -29,7 +36,7 @@ def key_words(title: str) -> list[str]:
         (r"\bapproximately equal to\b", ""), (r"\bpart (?=(?:[ivx]+|\d+)\b)", ""), (r"(?<=[a-z])0(?=[a-z])", "o"), (r"\b(?:lambda ?)+(?=\d)", ""),
     ):
         key = re.sub(pattern, to, key)
-    return key.split()
+    return tuple(key.split())
 
 
 def common_length(a: str, b: str) -> int:

@@ -122,7 +122,7 @@ def check(spark: SparkSession, path: str, records: DataFrame | None = None, sour
     flags = {c: F.lit(False) for c in ("live_identifier", "venue_known", "translated")}
     anchored = stash(resolve.anchor(ids, records), "anchored")
     found = resolve.search(info, records, anchored)
-    pairs = anchored.unionByName(found, allowMissingColumns=True)
+    pairs = stash(anchored.unionByName(found, allowMissingColumns=True), "pairs")
     if sources is None:
         sources = records.select("source").distinct().select("source", F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"))
     own = records.withColumn("doi", F.col("identifiers")["doi"]).drop("identifiers", "status", "issue", "pages", "publisher", "url", "year")

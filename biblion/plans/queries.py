@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from biblion.functions import idents, text
 from biblion.operators import cache, evaluate, hygiene, joins, support
 from biblion.plans import derived as d
-from biblion.plans.derived import BIB, CITES, ENTRIES, FINDINGS, REGISTRY, SQL_FOLD, SQL_KEY, table
+from biblion.plans.derived import BIB, CITES, ENTRIES, FINDINGS, REGISTRY, SQL_KEY, table
+from biblion.tables import stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -457,11 +458,11 @@ def reference_tables(spark, sf):
 def assess(spark, sf, current_year=2024):
     from biblion.operators import resolve, scoring, verdict
 
-    entries, records = reference_tables(spark, sf)
+    entries, records = (stash(t, "references") for t in reference_tables(spark, sf))
     ids = entries.where("doi is not null").select("key", F.lit(0).alias("ord"), F.lit("doi").alias("scheme"), F.col("doi").alias("value"))
     anchored = resolve.anchor(ids, records)
     found = resolve.search(entries, records, anchored)
-    pairs = anchored.unionByName(found, allowMissingColumns=True)
+    pairs = stash(anchored.unionByName(found, allowMissingColumns=True), "pairs")
     sources = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(up).alias("available"), F.lit(None if up else "SOURCES_UNAVAILABLE").cast("string").alias("reason")) for s, up in (("crossref", True), ("datacite", True), ("openalex", True), ("dblp", True))])))
     scored = scoring.score_pairs(pairs, entries, records.drop("identifiers"), current_year).withColumn("versions_known", F.col("r_versions_known"))
     return verdict.decide(entries, scored, resolve.answers(entries, pairs, sources), current_year)
