@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,33 @@ def test_ctw_baseline_and_gain(spark, small, texts):
     assert len(shallow) == len(texts) and all(r.score < 0 for r in shallow)
 
 
+def test_ctw_scores_do_not_depend_on_what_is_broadcast(spark, small, texts):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {r.doc_id: r.score for r in QUERIES["op7_ctw"](spark, small).collect()}
+    for most in (0, 3000):
+        got = {r.doc_id: r.score for r in ctw.score(docs, max_grams=most).collect()}
+        assert got == {i: pytest.approx(x, rel=1e-6) for i, x in whole.items()}
+
+
+@pytest.mark.parametrize("depth", [0, 2, 3, 5])
+def test_ctw_tree_of_tables_equals_one_piece(spark, texts, depth):
+    buf, starts = textvec.join([t for _, t in texts[:40]])
+    key, n = np.unique(ctw.grams(buf, starts, depth)[0], return_counts=True)
+    n[::7] = 0
+    want = dict(zip(key.tolist(), ctw.tree_log10(key, n, depth).tolist()))
+    grams = spark.createDataFrame(list(zip(key.tolist(), n.tolist())), "key long, n long")
+    assert {r.key: r.value for r in ctw.gram_model(grams, depth).collect()} == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+
+
+def test_ctw_portions_hold_whole_contexts(monkeypatch):
+    monkeypatch.setattr(ctw, "PORTION", 4)
+    context = np.array([1, 1, 1, 1, 1, 1, 2, 2, 3, 4, 4, 4, 4, 4, 5])
+    frames = [pa.RecordBatch.from_arrays([pa.array(context[i : i + 3]), pa.array(np.arange(i, i + 3))], names=["context", "key"]) for i in range(0, 15, 3)]
+    parts = [(c.tolist(), k.tolist()) for c, k in ctw._whole(iter(frames))]
+    assert [x for _, k in parts for x in k] == list(range(15)) and len(parts) > 1
+    assert sum(len(set(c)) for c, _ in parts) == 5
+
+
 def test_ctw_beats_word_counts_on_held_out_texts(spark):
     rows = [r for r in QUERIES["op7_ctw"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
