@@ -51,12 +51,12 @@ ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = "|".join(x.replace(".", r"\.") for x in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
-_SECRET = r"(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)*(?<=\.[\p{L}]{2,24})",
     "secret": rf"(?<!\p{{L}}){_SECRET}[^\s\"'#%&$*]{{6,128}}+",
     "key": r"(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "hex": r"(?<![\p{L}\p{N}])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])(?=[0-9]{0,63}[a-fA-F])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
@@ -83,6 +83,11 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
+def _one_case(c: Column) -> Column:
+    """Hex digits written in capitals throughout are the same number in small letters."""
+    return F.when(c.rlike("^[0-9A-F]+$"), F.lower(c)).otherwise(c)
+
+
 def parts_of(entity: Column, kind: Column) -> Column:
     """array of (kind, canon, raw); parts with a null canon stay as they are."""
     tld = F.regexp_extract(entity, r"\.\p{L}+$", 0)
@@ -90,7 +95,7 @@ def parts_of(entity: Column, kind: Column) -> Column:
     email = F.array(_part("mailbox", F.lower(entity), F.substring_index(entity, "@", 1)), _part("glue", None, F.lit("@")), _part("domain", F.lower(host), host), _part("glue", None, tld))
     head = F.regexp_extract(entity, rf"^{_SECRET}", 0)
     value = F.regexp_replace(entity, rf"^{_SECRET}", "")
-    secret = F.array(_part("glue", None, head), _part("secret", value, value))
+    secret = F.array(_part("glue", None, head), _part("secret", _one_case(value), value))
     key = F.array(_part("glue", None, F.lit("AKIA")), _part("key", F.substring(entity, 5, 200), F.substring(entity, 5, 200)))
     code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.regexp_replace(entity, r"^\+\d{1,3}(?=[ .(-])", "")
@@ -103,7 +108,7 @@ def parts_of(entity: Column, kind: Column) -> Column:
         _part("glue", None, F.when(i > 0, " ").otherwise("")), _part(F.when(i == F.size(words) - 1, "family").otherwise(gender), F.lower(w), w),
     )))
     name = F.concat(F.array(_part("glue", None, form)), named)
-    plain = F.array(_part(kind, F.when(kind == "card", _digits(entity)).otherwise(entity), entity))
+    plain = F.array(_part(kind, F.when(kind == "card", _digits(entity)).when(kind == "hex", _one_case(entity)).otherwise(entity), entity))
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "key", key).when(kind == "phone", phone).when(kind == "name", name).otherwise(plain)
 
 
@@ -162,14 +167,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     local = F.when(kind == "mailbox", F.substring_index(canon, "@", 1)).otherwise(canon)
     plain = _scramble(local, digest)
     octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.length(o) == 1, number(i) % 9 + 1).when(F.length(o) == 2, number(i) % 90 + 10).otherwise(number(i) % 156 + 100).cast("string"))
-    hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", number(i))).otherwise(c)), "")
+    hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", number(i))).otherwise(_pick("0123456789ABCDEF", number(i)))), "")
     body = F.concat(F.substring(canon, 1, 1), F.substr(plain, F.lit(2), F.length(canon) - 2))
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(_luhn_sum(canon) % 10 == 0, F.concat(body, check)).otherwise(F.concat(F.substring(canon, 1, 1), F.substr(plain, F.lit(2), F.length(canon))))
     return (
         F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind.isin("given_m", "given_f", "given_n", "family"), _name(kind, canon, digest, attempt))
         .when((kind == "phone") & ~canon.startswith("0"), F.concat(_pick("23456789", number(F.lit(0))), F.substr(plain, F.lit(2), F.length(canon))))
-        .when(kind.isin("secret", "hex") & canon.rlike("^[0-9a-f]+$"), hexed).otherwise(plain)
+        .when(kind.isin("secret", "hex") & canon.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(plain)
     )
 
 
@@ -179,7 +184,8 @@ def _render(kind: Column, raw: Column, own: Column) -> Column:
     numbers = F.array_join(F.transform(F.split(raw, ""), digit), "")
     shout = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1)
     cased = F.when(shout, F.upper(own)).when(F.substring(raw, 1, 1) != F.lower(F.substring(raw, 1, 1)), F.concat(F.upper(F.substring(own, 1, 1)), F.substr(own, F.lit(2), F.length(own)))).otherwise(own)
-    return F.when(kind.isin("phone", "card"), numbers).when(kind.isin("mailbox", "domain", "given_m", "given_f", "given_n", "family"), cased).otherwise(own)
+    capital = kind.isin("secret", "hex") & raw.rlike("^[0-9]*[A-F][0-9A-F]*$")
+    return F.when(capital, F.upper(own)).when(kind.isin("phone", "card"), numbers).when(kind.isin("mailbox", "domain", "given_m", "given_f", "given_n", "family"), cased).otherwise(own)
 
 
 def part_map(parts: DataFrame, key: str = KEY) -> DataFrame:

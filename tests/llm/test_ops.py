@@ -257,6 +257,17 @@ def test_pii(spark):
     assert got[4].text == rows[3][1] and got[4].n_entities == 0 and got[5].text is None
 
 
+def test_pii_in_capitals(spark):
+    small = 'token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" and 0641917ea4e9feb9cda83477b57ac2654884f485 api_key=Zk3-qqq9 Passwd: hunter22'
+    rows = [(1, small), (2, small.upper())]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for secret in ("9233a8ec", "0641917e", "zk3", "hunter"):
+        assert not any(secret in r.text.lower() for r in got.values()), secret
+    assert [(r.n_entities, r.kinds) for r in got.values()] == [(4, "hex,secret")] * 2
+    one, two = (re.fullmatch(r'(?i)(token = ")([0-9a-f]{40})(" and )([0-9a-f]{40})( api_key=)(\w{3}-\w{4})( passwd: )(\w{8})', got[i].text) for i in (1, 2))
+    assert (two[2], two[4]) == (one[2].upper(), one[4].upper()) and [two[i] for i in (1, 3, 5, 7)] == [one[i].upper() for i in (1, 3, 5, 7)]
+
+
 def test_pii_keeps_distinct(spark):
     df = spark.createDataFrame([(i, f"at 1.2.{i // 9}.{i % 9} now") for i in range(81)], "doc_id long, text string")
     got = [r.text for r in pii.replace_entities(df).collect()]
