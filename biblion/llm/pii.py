@@ -52,11 +52,13 @@ ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = "|".join(x.replace(".", r"\.") for x in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+# To the closing quote or to white space; something in it can be replaced.
+_VALUE = "|".join(rf"{before}(?=[^\s{end}]*[0-9\p{{Ll}}\p{{Lu}}])[^\s{end}]{{6,}}+" for before, end in ((r"(?<=\")", r"\""), ("(?<=')", "'"), (r"(?<![\"'])", r"\"'")))
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)*(?<=\.[\p{L}]{2,24})",
-    "secret": rf"(?<!\p{{L}}){_SECRET}[^\s\"'#%&$*]{{6,128}}+",
+    "secret": rf"(?<!\p{{L}}){_SECRET}(?:{_VALUE})",
     "key": r"(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "hex": r"(?<![\p{L}\p{N}])(?=[0-9]{0,63}[a-fA-F])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",

@@ -268,6 +268,20 @@ def test_pii_in_capitals(spark):
     assert (two[2], two[4]) == (one[2].upper(), one[4].upper()) and [two[i] for i in (1, 3, 5, 7)] == [one[i].upper() for i in (1, 3, 5, 7)]
 
 
+def test_pii_secrets_to_their_end(spark):
+    r = random.Random(3)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    jwt, sha = word("abcXYZ019-_.", 240), word("0123456789abcdef", 128)
+    values = [f'token = "{jwt}" end', f"secret: {jwt} end", "password=horse#battery%staple&four$five*six end", f"so {sha} end", f'password="it\'sLong{jwt}" end', f"token={jwt * 90} end"]
+    rows = [(i, v) for i, v in enumerate([*values, "token = ******** end", "password: ------ end"])]
+    got = {x.doc_id: x for x in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(values):
+        assert got[i].n_entities == 1 and got[i].text.endswith(" end") and len(got[i].text) == len(v)
+    for secret in (jwt[:20], jwt[-20:], sha[:20], sha[-20:], "battery", "staple", "four", "five", "six", "sLong"):
+        assert not any(secret in x.text for x in got.values()), secret
+    assert all(got[i].text == rows[i][1] and got[i].n_entities == 0 for i in (6, 7))
+
+
 def test_pii_keeps_distinct(spark):
     df = spark.createDataFrame([(i, f"at 1.2.{i // 9}.{i % 9} now") for i in range(81)], "doc_id long, text string")
     got = [r.text for r in pii.replace_entities(df).collect()]
