@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblion.functions.text import title_key
-
 # Fixed values.
 PREFIX_CHARS, CLOSE, EXTENDING = 40, 0.85, 3
 
@@ -82,14 +82,21 @@ def blocked_pairs(left: DataFrame, right: DataFrame, blocks: list[str], a: str,
     return left.join(right, blocks).where(length_bound(F.col(a), F.col(b), least)).where(edit_bound(F.col(a), F.col(b), least))
 
 
-def rare_token_pairs(entries: DataFrame, records: DataFrame, shared: int = 2, most_df: int = 50) -> DataFrame:
-    """entries(key, title), records(source_id, title) that share `shared` words of their titles, each in most_df
-    records or fewer. Candidate search by an inverted index; words too common to tell are left to the other blocks."""
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(title_key(F.col("title")), " "))).alias("w")).where("w <> ''")
-    index = words(records, "source_id")
-    rare = index.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= most_df).select("w")
-    got = words(entries, "key").join(rare, "w").join(index, "w").groupBy("key", "source_id").agg(F.count("*").alias("shared"))
-    return got.where(F.col("shared") >= shared)
+def shared_word_pairs(entries: DataFrame, records: DataFrame, least: float) -> DataFrame:
+    """key, source_id of entries(key, title_key) and records(source_id, title_key) that share two words or more and
+    pass length_bound. An equi-join on every two words of a title and its class of length, so no word is too common;
+    lengths within the bound are at most one class apart."""
+    width = math.log((2 - least) / least) * (1 + 1e-9)
+
+    def index(df: DataFrame, key: str, near: list[int]) -> DataFrame:
+        words = F.array_sort(F.array_distinct(F.filter(F.split("title_key", " "), lambda w: w != "")))
+        rows = df.where(F.length("title_key") > 0).select(key, F.length("title_key").alias("n"), words.alias("ws")).where(F.size("ws") > 1)
+        rows = rows.select(key, "n", "ws", F.posexplode("ws").alias("i", "u")).select(key, "n", "u", F.explode(F.slice("ws", F.col("i") + 2, F.size("ws"))).alias("v"))
+        return rows.select(key, "n", "u", "v", F.explode(F.array(*[F.floor(F.log("n") / width) + d for d in near])).alias("c"))
+
+    left, right = index(entries, "key", [-1, 0, 1]), index(records, "source_id", [0]).withColumnRenamed("n", "m")
+    fits = F.least("n", "m") >= F.lit(least / (2 - least)) * F.greatest("n", "m")
+    return left.join(right, ["u", "v", "c"]).where(fits).select("key", "source_id").distinct()
 
 
 def at_coordinates(entries: DataFrame, records: DataFrame, years: int = 1) -> DataFrame:

@@ -78,12 +78,12 @@ def anchor(ids: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def search(entries: DataFrame, records: DataFrame, anchored: DataFrame, rows: int = SEARCH_ROWS) -> DataFrame:
-    """Candidates by title for entries that no identifier anchors: equal or prefixed keys, and shared rare words."""
+    """Candidates by title for entries that no identifier anchors: equal or prefixed keys, and two shared words."""
     todo = entries.join(anchored.select("key"), "key", "left_anti").where("title is not null and title <> ''").select("key", "title").withColumn("title_key", title_key(F.col("title")))
     recs = records.select("source", "source_id", "title", F.concat_ws("|", "source", "source_id").alias("rid")).withColumn("title_key", title_key(F.col("title")))
     todo, recs = stash(todo, "todo"), stash(recs, "titles")
     by_prefix = joins.prefix_join(todo.select("key", "title_key"), recs.select("rid", "title_key")).select("key", "rid")
-    by_words = joins.rare_token_pairs(todo.select("key", "title"), recs.select(F.col("rid").alias("source_id"), "title")).select("key", F.col("source_id").alias("rid"))
+    by_words = joins.shared_word_pairs(todo.select("key", "title_key"), recs.select(F.col("rid").alias("source_id"), "title_key"), joins.CLOSE).select("key", F.col("source_id").alias("rid"))
     pairs = by_prefix.union(by_words).distinct().join(todo.select("key", "title_key"), "key").join(recs.select("rid", "source", "source_id", F.col("title_key").alias("rk")), "rid")
     longer = F.col("rk").startswith(F.concat("title_key", F.lit(" ")))
     close = joins.length_bound(F.col("title_key"), F.col("rk"), joins.CLOSE) & joins.edit_bound(F.col("title_key"), F.col("rk"), joins.CLOSE)

@@ -1,10 +1,11 @@
 """Operators on hand-made rows."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from biblion.operators import cache, evaluate, fixes, hygiene, resolve, sinks, support, verdict
+from biblion.operators import cache, evaluate, fixes, hygiene, joins, resolve, sinks, support, verdict
 from biblion.sources import registries
 from biblion.streaming import ttl
 
@@ -95,6 +96,26 @@ def test_outage_is_not_a_no(spark):
     assert got == {"a": [], "b": ["SOURCES_UNAVAILABLE"]}
 
 
+def test_search_finds_titles_of_common_words(spark):
+    """A changed start of title, and words that are all in more than 50 records."""
+    records = [("s", f"r{i}", f"number {i} on robust learning of graph networks with sparse labels and little noise at all") for i in range(120)]
+    records.append(("s", "own", "Fast robust learning of graph networks with sparse labels and noise"))
+    recs = spark.createDataFrame(records, "source string, source_id string, title string")
+    todo = spark.createDataFrame([("a", "Fats robust learning of graph networks with sparse labels and noise"), ("b", "something else of it")], "key string, title string")
+    got = resolve.search(todo, recs, spark.createDataFrame([], "key string")).collect()
+    assert ("a", "own", "candidate") in {(r.key, r.source_id, r.role) for r in got} and {r.key for r in got} == {"a"}
+
+
+def test_shared_word_pairs_are_all_there(spark):
+    r = random.Random(5)
+    title = lambda: " ".join(r.choice(["of", "the", "a", "on", "graph", "net", "learning", "sparse", "x1", "x2"]) for _ in range(r.randrange(1, 9)))
+    left, right = ([(f"{k}{i}", title()) for i in range(70)] for k in "ab")
+    got = joins.shared_word_pairs(spark.createDataFrame(left, "key string, title_key string"), spark.createDataFrame(right, "source_id string, title_key string"), 0.85).collect()
+    fits = lambda a, b: min(len(a), len(b)) >= 0.85 / 1.15 * max(len(a), len(b))
+    want = {(k, i) for k, a in left for i, b in right if len(set(a.split()) & set(b.split())) >= 2 and fits(a, b)}
+    assert {(x.key, x.source_id) for x in got} == want and len(got) == len(want)
+
+
 def test_cache(spark):
     rows = [("s", "k", "positive", "2024-01-01", True), ("s", "m", "negative", "2024-01-01", True), ("t", "k", "search", "2024-01-25", False)]
     a = spark.createDataFrame(rows, "source string, key string, kind string, stored_at string, exportable boolean").withColumns({"stored_at": F.to_timestamp("stored_at"), "payload": F.lit("{}")})
