@@ -1,6 +1,6 @@
 """Operator 6: licence scan by canonical digests (DataFrame operations only).
 
-A text is made canonical (case, copyright lines, equivalent spellings, punctuation, white space), digested, and
+A text is made canonical (case, ownership lines, equivalent spellings, punctuation, white space), digested, and
 looked up as a whole among the digests of known licences by a hash join. Two kinds of whole texts are looked
 up: the document, and each of its lines (a licence notice stands on a line of its own).
 
@@ -29,12 +29,17 @@ SPELLINGS = (
     ("recognise", "recognize"), ("organisation", "organization"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
     ("version ", "v"), ("https://", "http://"),
 )
+#: A line that says who holds the copyright: the word is not the last of the line, and what follows is no word that a
+#: sentence of a licence has there.
+_GOES_ON = "notices?|holders?|owners?|laws?|interests?|licen[cs]es?|statements?|protection|permission|and|or|on|in|to|for|of|is"
+OWNERSHIP_LINE = rf"(^|\n)[ \t]*(copyright(?![a-z])(?![^\p{{L}}\p{{N}}\n(©<]*(\n|$))(?![ \t]+({_GOES_ON})(?![\p{{L}}\p{{N}}]))|\(c\)|©)[^\n]*"
+#: The SQL's wider pattern, which deletes any line that begins with the word.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), OWNERSHIP_LINE, "\n")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -325,6 +326,24 @@ def test_bloom_has_no_false_negatives(spark):
         assert url_filter.possible(other, words, blocks, literal).count() < 1500
 
 
+def test_license_texts_in_any_wrap(spark):
+    from biblion.llm.license_texts import TEXTS
+
+    known = license_scan.known_digests(spark, {k: [v] for k, v in TEXTS.items()})
+    rows, names = [], []
+    for name, text in TEXTS.items():
+        for k, owner in enumerate(("Copyright (c) 2004, 2019 A. B. Owner", "Copyright The Foo Authors", "copyright: 2004 A", "© A. B. Owner")):
+            lines = [owner if x.lower().startswith("copyright") else "\n".join(textwrap.wrap(x, 30 + 17 * k)) for x in text.split("\n")]
+            rows.append((len(rows), "\n".join(lines).replace("copyright ", "\ncopyright ")))
+            rows.append((len(rows), "\n".join(lines).replace("copyright ", "copyright\n") if k != 2 else "\n".join(lines)))
+            names += [name] * 2
+    isc = next(t for i, t in rows if names[i] == "ISC")
+    rows.append((len(rows), isc.replace("above\ncopyright", "above copyright").replace("above copyright", "above\ncopyright")))
+    names.append("ISC")
+    got = {r.doc_id: r.text_license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, known).collect()}
+    assert got == dict(enumerate(names))
+
+
 def test_license_texts_as_whole_documents(spark):
     from biblion.llm.license_texts import TEXTS
 
