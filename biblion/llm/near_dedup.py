@@ -272,7 +272,16 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without the near copies of another one, all their columns as they are."""
-    return drop_rows(docs, near_classes(docs, **options).where("not kept"))
+    rows = stash(near_classes(docs, **options).select("doc_id", "text_key", "kept"), "kept")
+    out = drop_rows(docs, rows.where("not kept"))
+    # the row that stays may itself be there several times
+    again = rows.groupBy("doc_id", "text_key").agg(F.max("kept").alias("one"), F.min("kept").alias("all"))
+    again = stash(again.where(F.col("one") & ~F.col("all")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__own")), "again")
+    if not again.limit(1).count():
+        return out
+    same = (F.col("__key") == F.col("__own")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    twice = docs.withColumn("__key", text_key()).join(again, same, "left_semi")
+    return out.unionByName(twice.dropDuplicates(["doc_id", "__key"]).drop("__key"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

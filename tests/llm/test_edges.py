@@ -87,6 +87,14 @@ def test_stages_keep_columns_and_one_of_each(spark, docs):
     assert quality.select_clean(docs, model).count() == len(ROWS)
 
 
+def test_near_stage_keeps_a_row_of_repeated_ones(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(1, near, "x"), (1, near, "x"), (1, near, "x"), (2, near, "y"), (2, near, "y"), (3, "another text of some words here", "z"), (3, "another text of some words here", "z"),
+            (None, "a text without an id", "w"), (None, "a text without an id", "w"), (4, "alone in this table", "v"), (5, "...", "u"), (5, "...", "u")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == sorted({(i or 0, t, s) for i, t, s in rows if i != 2} | {(5, "...", "u")}) + [(5, "...", "u")]
+
+
 def test_near_keeps_one_of_repeated_rows(spark, docs):
     assert sum(r.kept for r in near_dedup.near_classes(docs).collect() if r.doc_id in (1,)) == 1
 
