@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (a local session), one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="biblion-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,6 +36,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table up to which it is broadcast, and rows of a key from which the key counts as hot.
+MAX_BROADCAST_ROWS, HOT = 200_000, 1_000
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has most rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, how: str = "inner", most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """rows joined with groups, which has one row a key and in column members the number of the key's rows.
+
+    Few groups are broadcast. Of many, the hot ones are, so that no task gets all rows of a key; the others meet by
+    a shuffle. Hot groups are at most 1/HOT of the rows; if even they are too many to send, AQE splits the join.
+    """
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), key, how)
+    hot = groups.where(F.col(members) > HOT)
+    if hot.limit(most + 1).count() > most:
+        return rows.join(groups, key, how)
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    some = marked.where("__hot").drop("__hot").join(F.broadcast(hot), key)
+    return some.unionByName(marked.where("__hot is null").drop("__hot").join(groups.where(F.col(members) <= HOT), key, how))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

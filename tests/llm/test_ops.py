@@ -225,7 +225,7 @@ def test_near_classes_of_a_crowd(spark):
         docs.append((i, " ".join(w[r.randint(0, 3) :])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = classes({i: sets_of(t) for i, t in docs})
-    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(df, n_bands=40, rows=3, block=16).collect()}
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(df, n_bands=40, rows=3).collect()}
     assert got == want and 1 < len(set(want.values()))
 
 
