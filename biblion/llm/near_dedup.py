@@ -18,8 +18,8 @@ made in a second scan, for members of buckets of two or more alone. A bucket is
 every member is verified against the bucket's hub, the member that shares the most buckets with others (the
 likely original), in groups of STAR members that each get the hub's set once. Members that are then in another
 component than most of their bucket are strays: they meet all texts of that component, and the strays of a
-bucket each other, in blocks of BLOCK_BYTES of sets that texts stream past. No candidate is skipped; beyond the
-members, what is moved grows with the strays alone, by whole blocks. A very common band is one hot key of narrow
+bucket each other, in blocks of STAR texts or BLOCK_BYTES of sets that texts stream past. No candidate is skipped;
+beyond the members, what is moved grows with the strays alone, by whole blocks. A very common band is one hot key of narrow
 rows: hot keys are broadcast to their rows (join_groups). Components come from label propagation with pointer
 jumping on tables; neither links nor labels are collected. What is sent to all tasks is checked: a filter of at
 most 32 MB and tables of at most MAX_BROADCAST_ROWS rows, with a shuffled join beyond.
@@ -48,7 +48,7 @@ from biblion.llm.shared import join_groups, small, stash, table
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 MAX_BROADCAST_ROWS = 1_000_000
-STAR, BLOCK_BYTES, STREAM_BYTES, SLICE = 256, 1 << 20, 8 << 20, 400_000
+STAR, BLOCK_BYTES, SLICE = 256, 1 << 20, 400_000
 #: Rank at which the first level ends; every further level doubles the rank.
 FIRST_RANK = 0.5
 SCALE = 2.0**-53
@@ -321,7 +321,7 @@ def block_rows(kind: int, held: DataFrame, passed: DataFrame) -> DataFrame:
     """Groups in which rows of passed stream past blocks of held with the same key; both: key, node, label, size."""
     load = lambda df, what: df.groupBy("key").agg(F.sum("size").alias(what), F.count("*").alias(f"{what}_n"))
     plan = load(held, "h").join(load(passed, "p"), "key")
-    plan = plan.select("key", (F.col("h_n") + F.col("p_n")).alias("n"), *(F.ceil(F.col(c) * 8 / most).cast("int").alias(to) for c, most, to in (("h", BLOCK_BYTES, "blocks"), ("p", STREAM_BYTES, "streams"))))
+    plan = plan.select("key", (F.col("h_n") + F.col("p_n")).alias("n"), *(F.ceil(F.greatest(F.col(c) * 8 / BLOCK_BYTES, F.col(f"{c}_n") / STAR)).cast("int").alias(to) for c, to in (("h", "blocks"), ("p", "streams"))))
     plan = stash(plan, "plan")
     deal = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -352,3 +352,73 @@ def test_license_texts_as_whole_documents(spark):
     known = license_scan.known_digests(spark, {k: [v] for k, v in TEXTS.items()})
     got = {r.doc_id: r for r in license_scan.scan(df, known, license_scan.known_digests(spark, license_scan.NOTICES)).collect()}
     assert (got[1].text_license, got[2].text_license, got[3].text_license, got[3].notices) == ("MIT", None, None, "MIT")
+
+
+def test_quality_slopes_are_those_of_the_likelihood(monkeypatch):
+    """The gradient against differences of a plainly written likelihood, in several chunks."""
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    r = np.random.default_rng(4)
+    doc, feature, value = np.repeat(np.arange(9), 4), r.integers(0, 6, 36), r.uniform(0.1, 1, 36)
+    grade, w, cuts = r.integers(0, 3, 9), r.normal(size=6), np.array([-0.7, 0.9])
+
+    def likelihood(w, cuts):
+        total = 0.0
+        for d in range(9):
+            s = sum(w[f] * v for e, f, v in zip(doc, feature, value) if e == d)
+            below = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+            total += math.log(below[grade[d] + 1] - below[grade[d]])
+        return total / 9
+
+    by_weight, by_cut = quality.slopes(w, cuts, doc, feature, value, grade)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert by_weight[k] == pytest.approx((likelihood(w + step, cuts) - likelihood(w - step, cuts)) / 2e-6, abs=1e-6)
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-6
+        assert by_cut[k] == pytest.approx((likelihood(w, cuts + step) - likelihood(w, cuts - step)) / 2e-6, abs=1e-6)
+
+
+def test_quality_fit_reaches_the_greatest_likelihood():
+    """Against plain gradient ascent with many small steps on a small table."""
+    r = np.random.default_rng(5)
+    doc, feature = np.repeat(np.arange(60), 5), r.integers(0, 8, 300)
+    value, truth = r.uniform(0.2, 1, 300), r.normal(size=8) * 2
+    s = np.bincount(doc, weights=truth[feature] * value)
+    grade = np.digitize(s + r.logistic(size=60), [-1.0, 1.0])
+
+    def value_of(w, cuts):
+        below = np.concatenate([np.zeros((60, 1)), 1 / (1 + np.exp(np.bincount(doc, weights=w[feature] * value)[:, None] - cuts[None, :])), np.ones((60, 1))], axis=1)
+        return np.log(below[np.arange(60), grade + 1] - below[np.arange(60), grade]).mean() - 5e-3 * (w**2).sum() / 2
+
+    w, cuts = np.zeros(8), np.array([-1.0, 1.0])
+    for _ in range(20_000):
+        a, b = quality.slopes(w, cuts, doc, feature, value, grade)
+        w, cuts = w + 0.3 * (a - 5e-3 * w), cuts + 0.3 * b
+    got_w, got_cuts = quality._fit(doc, feature, value, grade, steps=600, decay=5e-3)
+    assert value_of(got_w[:8], got_cuts) == pytest.approx(value_of(w, cuts), abs=1e-3) and (np.diff(got_cuts) > 0).all()
+
+
+def test_near_classes_of_weighted_texts(spark):
+    """Weights are counts: repeated passages tell texts apart that have the same set."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    docs = []
+    for i in range(60):
+        if i % 10 == 0:
+            base = [r.choice(vocabulary) for _ in range(40)]
+        docs.append((i, " ".join(base + base[: r.choice([0, 5, 20])] * r.choice([1, 3]) + [r.choice(vocabulary) for _ in range(r.randint(0, 2))])))
+
+    def counted(t):
+        w = t.split()
+        seen = collections.Counter()
+        out = set()
+        for j in range(len(w) - 4):
+            g = tuple(w[j : j + 5])
+            out.add((g, seen[g]))
+            seen[g] += 1
+        return out
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(df, n_bands=40, rows=3, weighted=True).collect()}
+    want = classes({i: counted(t) for i, t in docs})
+    assert got == want and want != classes({i: sets_of(t) for i, t in docs})
