@@ -45,7 +45,7 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, how: str = "inner", most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], members: str, how: str = "inner", most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """rows joined with groups, which has one row a key and in column members the number of the key's rows.
 
     Few groups are broadcast. Of many, the hot ones are, so that no task gets all rows of a key; the others meet by
@@ -56,7 +56,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, how:
     hot = groups.where(F.col(members) > HOT)
     if hot.limit(most + 1).count() > most:
         return rows.join(groups, key, how)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    marked = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key), F.lit(True).alias("__hot"))), key, "left")
     some = marked.where("__hot").drop("__hot").join(F.broadcast(hot), key)
     return some.unionByName(marked.where("__hot is null").drop("__hot").join(groups.where(F.col(members) <= HOT), key, how))
 
