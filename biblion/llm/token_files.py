@@ -13,7 +13,8 @@ Every attempt writes files of its own name and the manifest names those of the a
 lost executor leaves stray files but no wrong ones. The manifest is a table of one row a part.
 
 Edge cases. Null text counts as empty; an empty text is the end id alone. Null doc_ids come first (as
-the smallest 64-bit number in the files, null in the result); equal doc_ids are ordered by text. An empty
+the smallest 64-bit number in the files, null in the result); equal doc_ids are ordered by a
+hash of the text, and may lie in several parts. An empty
 table gives no files and no rows. Further columns are ignored.
 """
 
@@ -128,8 +129,9 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
     """Writes the files below folder; returns the manifest: part, path, n_docs, n_tokens, width, base."""
     json.loads(tokenizer_json)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text", "doc_id"))
+    # the tie deals out rows without an id, or with the same one
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     manifest = stash(rows.mapInArrow(_write(spec, folder, end_id), MANIFEST), "manifest")
     # one row a part: a single task adds them up
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
