@@ -7,8 +7,8 @@ shingle never occurs cannot occur and is dropped. Documents emit a row for each
 with the words around it; these rows join the windows on the shingle, pass the positional bound (the window
 must begin inside the document) and the length bound (and end inside it), and are verified word by word.
 
-What reaches every task is a bit array of FILTER_BITS bits, whatever the benchmark's size; a bit that is set
-by chance costs a row that the join then drops. The window side of the join is broadcast only when it has
+What reaches every task is a bit array of 16 bits a shingle, 32 MB at most (bits.py); a bit that is set by chance
+costs a row that the join then drops. The window side of the join is broadcast only when it has
 MAX_BROADCAST_ROWS rows or fewer, else the join is shuffled and AQE splits hot shingles. Rows grow with the
 occurrences of prefix shingles, one for each place, not with pairs of documents.
 
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm import textvec as tv
+from biblion.llm.bits import key_bits, passing
 from biblion.llm.identity import drop_rows, keyed, text_key
-from biblion.llm.shared import stash, table
+from biblion.llm.shared import small, stash, table
 
-WINDOW, SHINGLE, FILTER_BITS, MAX_BROADCAST_ROWS = 10, 3, 1 << 24, 50_000
+WINDOW, SHINGLE, MAX_BROADCAST_ROWS = 10, 3, 50_000
 
 
 def _fingerprints(fp: np.ndarray, size: int) -> np.ndarray:
@@ -66,21 +67,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int =
     return items.mapInArrow(_windows(window, shingle), "item_id long, window string, n int, fps array<long>")
 
 
-def _bits(fps: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, one set for each fingerprint in column fp; at most FILTER_BITS / 64 rows come to the driver."""
-    slot = F.col("fp").bitwiseAND(FILTER_BITS - 1)
-    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for block, value in fps.select(F.shiftright(slot, 6).alias("b"), slot.alias("slot"), "fp").groupBy("b").agg(word.alias("w")).collect():
-        out[block] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
-def _passing(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    slot = fp & np.uint64(FILTER_BITS - 1)
-    return np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-
-
 def _places(buf, starts, sizes, bits):
     """Words of the buffer, first word of each document, and (place, fingerprint) of shingles that pass the filter."""
     fp, s, e = tv.words(buf, tv.ALNUM)
@@ -88,7 +74,7 @@ def _places(buf, starts, sizes, bits):
     at, found = [], []
     for size in sizes:
         own = _fingerprints(fp, size)
-        hit = _passing(bits, own)
+        hit = np.flatnonzero(passing(bits, own))
         owner = np.searchsorted(first, hit, "right") - 1
         hit = hit[hit + size <= first[owner + 1]]  # not across documents
         at.append(hit)
@@ -147,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = sorted(r[0] for r in by_item.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect()) or [shingle]
 
     shingles = by_item.select(F.explode("fps").alias("fp")).distinct()
-    bits = spark.sparkContext.broadcast(_bits(shingles))
+    bits = spark.sparkContext.broadcast(key_bits(shingles, "fp", shingles.count()))
     counted = docs.select("doc_id", "text").mapInArrow(_counts(sizes, bits), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     counted = shingles.join(counted, "fp")
 
@@ -157,11 +143,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prefix = places.groupBy("window").agg(F.min(F.struct("often", "place", "fp")).alias("rare"), F.count("*").alias("there"), F.first("size").alias("size"))
     prefix = prefix.where("there = size").select("window", F.col("rare.place").alias("offset"), F.col("rare.fp").alias("fp"))
     prefix = stash(prefix.join(windows.drop("fps"), "window"), "prefixes")
-    if prefix.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        joined = F.broadcast(prefix)
-    else:
-        joined = prefix
-    few = spark.sparkContext.broadcast(_bits(prefix.select("fp").distinct()))
+    joined, rare = small(prefix, MAX_BROADCAST_ROWS), prefix.select("fp").distinct()
+    few = spark.sparkContext.broadcast(key_bits(rare, "fp", rare.count()))
     rows = stash(docs.mapInArrow(_candidates(sizes, few, window), CANDIDATE), "candidates")
 
     begin = F.col("place") - F.col("offset")
