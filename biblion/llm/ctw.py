@@ -286,7 +286,7 @@ class Lookup:
 
 # --- both passes -----------------------------------------------------------------------------------------
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, score double, base_hot double, known_hot long, word int, fp long, times long"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, base_hot double, known_hot long, word int, fp long, times long"
 
 
 def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +323,7 @@ def _score(depth: int, model, hot, norm: float | None) -> Callable:
             blank = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(pad, t)])
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([rows, rows[d], rows[gram_d]])), blank(ids, pa.int64()), blank([held_out(i) for i in ids], pa.bool_()),
-                blank(np.diff(first) + 1, pa.int64()), blank(score, pa.float64()), blank(base, pa.float64()), blank(known_hot, pa.int64()),
+                blank(np.diff(first) + 1, pa.int64()), blank(np.diff(np.append(at, len(gram))), pa.int64()), blank(score, pa.float64()), blank(base, pa.float64()), blank(known_hot, pa.int64()),
                 pa.array(np.repeat(np.arange(3, dtype=np.int32), [docs, len(d), len(gram_d)])),
                 pa.array(np.concatenate([rows, w.view(np.int64), gram_w.view(np.int64)])), pa.array(np.concatenate([np.zeros(docs, np.int64), times, gram_times])),
             ], names=[x.split()[0] for x in SCORED.split(", ")])
@@ -347,7 +347,7 @@ def _most_frequent(by_size: list, most: int) -> int | None:
 
 
 def score(docs: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_hot: int = MAX_HOT) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts = stash(docs.mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -377,12 +377,12 @@ def score(docs: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_h
     known = F.when(F.col("c") > 0, F.col("times"))
     far = F.when(F.col("word") == 2, F.col("times") * F.col("value").cast("double"))
     doc = lambda x: F.max(x).alias(x)  # noqa: E731  one row of a document has it
-    out = rows.join(cold, ["word", "fp"], "left").select("row", "doc_id", "held_out", "n_tokens", "score", "base_hot", "known_hot", rest.alias("rest"), known.alias("known"), far.alias("far"))
-    out = out.groupBy("row").agg(*map(doc, ("doc_id", "held_out", "n_tokens", "score", "base_hot", "known_hot")), F.sum("rest").alias("rest"), F.sum("known").alias("known"), F.sum("far").alias("far"))
-    base = F.col("base_hot") + F.coalesce("rest", F.lit(0.0))
+    out = rows.join(cold, ["word", "fp"], "left").select("row", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "base_hot", "known_hot", rest.alias("rest"), known.alias("known"), far.alias("far"))
+    out = out.groupBy("row").agg(*map(doc, ("doc_id", "held_out", "n_tokens", "n_bytes", "score", "base_hot", "known_hot")), F.sum("rest").alias("rest"), F.sum("known").alias("known"), F.sum("far").alias("far"))
+    base, total = F.col("base_hot") + F.coalesce("rest", F.lit(0.0)), F.col("score") + F.coalesce("far", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known_hot") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (base if tokens else F.lit(None).cast("double")).alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
+        F.lit(tokens).cast("long").alias("train_tokens"), (base if tokens else F.lit(None).cast("double")).alias("base_score"), total.alias("score"), "n_bytes", (-total * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
