@@ -47,6 +47,35 @@ Redistribution and use in source and binary forms, with or without modification,
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) <year>, <copyright holders>
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "Zlib": """zlib License
+
+Copyright (c) <year> <copyright holders>
+
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.
 """,
     "Unlicense": """This is free and unencumbered software released into the public domain.
 
@@ -59,3 +88,59 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org>
 """,
 }
+
+#: SHA-256 of the canonical form (license_scan.canonical) of texts that are too long to repeat here, as their stewards
+#: publish them: whole, and where they have an appendix also up to it, with and without the line that ends the terms.
+DIGESTS = {
+    "Apache-2.0": (
+        "afa2227817e3de4abbe7bff88ac076ccc1b32e9f3f5433f09e94d5768f93dab2",
+        "53a209e447b86dbfd615ed32da6ce409baeb8aec31aa7c03e4ecba0d09751173",
+        "8ea7532d68e657f662afb4fbaa12c7070272320b43134433c46a16bf2d959923",
+    ),
+    "Artistic-1.0-Perl": (
+        "964df953a5173790139349931410911b44a974d30653e34b0d2b39b139b24660",
+    ),
+    "CC0-1.0": (
+        "976b0f9cb0d01a3b180e3acf46433f38d5c43a3bd163e4ddacaf7db20de9d627",
+    ),
+    "GFDL-1.2": (
+        "32a143d26a870d325619ee6673ad647ff1ad90353a19a364e1df9281050bbece",
+    ),
+    "GFDL-1.3": (
+        "5eab30dedffdc80c6f3b6063a07e7bbcdfaba79b408e963fb409e55d216f08a4",
+    ),
+    "GPL-1.0": (
+        "a91e7dcaf6295554c2722a6f37b87f911eda00d78cdf90689da3ba6d635c8ddd",
+        "ec86c7d0671e64c2b4784c08f8f448e6a5d738cf9beeb9ffe24bd9aab486243b",
+        "208e339d8e95c9fe8ee8008d02fc5c72e28a464c16fa2bfb59fb488a3296e0ef",
+    ),
+    "GPL-2.0": (
+        "9410ed0c6dba4b0f38cd04e626cc1e0946eaf8d36d55ab802e146981c1bb9e8e",
+        "8638947808bd4ffd3c4fd8e5e4e8b5b71f33c24d3b66f8abfbb61c94122dd1cf",
+        "49b94485225ee8f97c3e0b2f355ba2f0740294f848350da4d3d8f1d5ce126ca0",
+    ),
+    "GPL-3.0": (
+        "079d61621b6c80e43ac1064418dfd313f040165e268088b97045961f81747023",
+        "0e441d114465977a19d5b2c68aaf1348afdb7a722bf738f3761d9a92ad95aaae",
+        "19ea908c1a4411f34dc25675ca17c23c13ff82c29b7cc6b27a5d59fb69c59430",
+    ),
+    "LGPL-2.0": (
+        "aa884d7a527e4b637b9591e72d69ee285120884ea98621d98164eb6c71bb67e5",
+        "efa43996ca7dd6d0482113c7429fa11e7032ff68ea6447a3acbfe3df81255e59",
+        "9b85a782b559f93740f95a3317b89524cb6a9429c3dcc4d8f2e60e7f1aedf648",
+    ),
+    "LGPL-2.1": (
+        "8083e5c20b1909835151acd095bfe9d5f34cecaf46d118b575fd02498c1c7456",
+        "a202daa97e0d35d1643c1030f042200bbb77f44e9bd0989a1dcceab9c2ea25ab",
+        "1244c88ae3b16f7644f5873555d8061d5afbb1056340a766983021e7662a1981",
+    ),
+    "LGPL-3.0": (
+        "2afb8c73174cf61997f541127f053814cc8fcbaca9fc4a6e70e12533a804de59",
+    ),
+    "MPL-1.1": (
+        "d1c409c06863ea5d010d8645fc2d052c41f9e7455881253bba9fc60e73d24e36",
+    ),
+    "MPL-2.0": (
+        "f6a2ef54d59a266467829981b63f859b19bcb19ad792b40143c765f026802ee3",
+    ),
+}
