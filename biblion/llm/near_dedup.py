@@ -99,11 +99,13 @@ def darts(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, k
         dart, w = dart[under], w[under]
         at = low + area * _unit(tv.mix(dart ^ np.uint64(0xE7037ED1A0B428DB)))
         slot = d[w] * k + (tv.mix(dart ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((dart, at, slot))
-        slot, at, dart = slot[order], at[order], dart[order]
-        new = np.flatnonzero(np.diff(slot, prepend=-1))
-        better = at[new] < rank[slot[new]]
-        rank[slot[new][better]], value[slot[new][better]] = at[new][better], dart[new][better]
+        # the earliest dart of each coordinate, of equally early ones the smallest
+        earliest, chosen = np.full(docs * k, np.inf), np.full(docs * k, full, np.uint64)
+        np.minimum.at(earliest, slot, at)
+        best = (at == earliest[slot]) & (at < rank[slot])
+        np.minimum.at(chosen, slot[best], dart[best])
+        new = np.unique(slot[best])
+        rank[new], value[new] = earliest[new], chosen[new]
         low, level = high, level + 1
         # a level is closed as a whole, so a coordinate with a dart has its earliest one
         open_docs &= np.isinf(rank).reshape(docs, k).any(axis=1) if docs else open_docs
@@ -130,7 +132,9 @@ def elements(texts: list, words: int, weighted: bool) -> tuple[np.ndarray, np.nd
         element.append(tv.shingles(fp[first[d] : first[d + 1]], n[d]) ^ np.uint64(n[d]))
         owner.append(np.array([d]))
     element, doc = np.concatenate(element), np.concatenate(owner)
-    order = np.lexsort((element, doc))
+    order = np.argsort(element)
+    narrow = doc[order].astype(np.uint16 if len(n) <= 1 << 16 else np.int64)  # narrow numbers are sorted by radix
+    order = order[np.argsort(narrow, kind="stable")]
     element, doc = element[order], doc[order]
     new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(element, prepend=~element[:1]) != 0)) if len(doc) else order
     weight = np.diff(np.append(new, len(doc))) if weighted else np.ones(len(new), np.int64)
