@@ -1,8 +1,8 @@
 """A bit array over 64-bit keys that spares work: a key that was not put in is let through rarely, one that was always.
 
 It only decides what is moved; the join after it decides what is right. Its size follows the number of keys
-between LEAST and MOST bits (MOST is 32 MB); with more than MOST / 16 keys it lets more through, and the join
-does the rest.
+between LEAST and MOST bits (MOST is 32 MB), so that a key in PER_KEY gets through by chance; with many more than
+two million keys it lets more through, and the join does the rest.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST, PER_KEY = 16, 28, 16
+LEAST, MOST, PER_KEY = 16, 28, 128
 
 
 def size_bits(keys: int, least: int = LEAST, most: int = MOST) -> int:

@@ -7,7 +7,7 @@ shingle never occurs cannot occur and is dropped. Documents emit a row for each
 with the words around it; these rows join the windows on the shingle, pass the positional bound (the window
 must begin inside the document) and the length bound (and end inside it), and are verified word by word.
 
-What reaches every task is a bit array of 16 bits a shingle, 32 MB at most (bits.py); a bit that is set by chance
+What reaches every task is a bit array of 128 bits a shingle, 2 MB to 32 MB (bits.py); a bit that is set by chance
 costs a row that the join then drops. The window side of the join is broadcast only when it has
 MAX_BROADCAST_ROWS rows or fewer, else the join is shuffled and AQE splits hot shingles. Rows grow with the
 occurrences of prefix shingles, one for each place, not with pairs of documents.
@@ -32,7 +32,7 @@ from biblion.llm.bits import key_bits, passing
 from biblion.llm.identity import drop_rows, keyed, text_key
 from biblion.llm.shared import small, stash, table
 
-WINDOW, SHINGLE, MAX_BROADCAST_ROWS = 10, 3, 50_000
+WINDOW, SHINGLE, MAX_BROADCAST_ROWS, LEAST_BITS = 10, 3, 50_000, 24
 
 
 def _fingerprints(fp: np.ndarray, size: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = sorted(r[0] for r in by_item.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect()) or [shingle]
 
     shingles = by_item.select(F.explode("fps").alias("fp")).distinct()
-    bits = spark.sparkContext.broadcast(key_bits(shingles, "fp", shingles.count()))
+    bits = spark.sparkContext.broadcast(key_bits(shingles, "fp", shingles.count(), LEAST_BITS))
     counted = docs.select("doc_id", "text").mapInArrow(_counts(sizes, bits), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     counted = shingles.join(counted, "fp")
 
@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prefix = prefix.where("there = size").select("window", F.col("rare.place").alias("offset"), F.col("rare.fp").alias("fp"))
     prefix = stash(prefix.join(windows.drop("fps"), "window"), "prefixes")
     joined, rare = small(prefix, MAX_BROADCAST_ROWS), prefix.select("fp").distinct()
-    few = spark.sparkContext.broadcast(key_bits(rare, "fp", rare.count()))
+    few = spark.sparkContext.broadcast(key_bits(rare, "fp", rare.count(), LEAST_BITS))
     rows = stash(docs.mapInArrow(_candidates(sizes, few, window), CANDIDATE), "candidates")
 
     begin = F.col("place") - F.col("offset")
