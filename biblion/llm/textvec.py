@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 #: Bytes of text that batches() puts together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _power = np.zeros(0, np.uint64)
