@@ -73,7 +73,17 @@ ALPHABETS = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = "|".join(x.replace(".", r"\.") for x in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
-_GIVEN = "|".join(y for x in (*COMMON["m"].split(), *COMMON["f"].split()) for y in (x, x.upper()))
+
+
+def _branches(words: list[str]) -> str:
+    """A pattern of the words that decides on their first letter first."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_first.items())
+
+
+_GIVEN = _branches([y for x in (*COMMON["m"].split(), *COMMON["f"].split()) for y in (x, x.upper())])
 _SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 # To the closing quote or to white space; something in it can be replaced.
 _VALUE = "|".join(rf"{before}(?=[^\s{end}]*[0-9\p{{Ll}}\p{{Lu}}])[^\s{end}]{{6,}}+" for before, end in ((r"(?<=\")", r"\""), ("(?<=')", "'"), (r"(?<![\"'])", r"\"'")))
@@ -81,7 +91,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)*(?<=\.[\p{L}]{2,24})",
     "secret": rf"(?<!\p{{L}}){_SECRET}(?:{_VALUE})",
     "key": r"(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "hex": r"(?<![\p{L}\p{N}])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5}|(?:[0-9a-fA-F]{1,4}:){1}(?::[0-9a-fA-F]{1,4}){3,6})(?![\p{L}\p{N}:])",
@@ -90,11 +100,12 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
     "name": rf"(?<!\p{{L}})(?:{_FORM})\s(?:\p{{Lu}}[\p{{L}}'’-]{{1,30}})(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}}){{0,2}}",
-    "bare": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}[\p{{L}}'’-]{{1,30}}+",
+    "bare": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_GIVEN}) \p{{Lu}}[\p{{L}}'’-]{{1,30}}+",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All but addresses begin where no letter is before; that is tested once.
+ENTITY = r"(?<!\p{L})(?:" + "|".join(p for kind, p in PATTERNS.items() if kind != "ip") + ")|" + PATTERNS["ip"]
 #: Every entity has one of these characters, a form of address or a given name; one scan for them spares many texts the pattern.
-HINT = rf"[0-9@=:]|(?:{_FORM})\s|(?:{_GIVEN}) \p{{Lu}}|-----BEGIN"
+HINT = rf"[0-9@=:]|(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_FORM})\s|(?:{_GIVEN}) \p{{Lu}})|-----BEGIN"
 #: Stands before and after an entity; where a text has it itself, it is written as two characters.
 MARK, ESCAPED = "\ufdd0", (("\ufdd1", "\ufdd1\ufdd2"), ("\ufdd0", "\ufdd1\ufdd3"))
 
