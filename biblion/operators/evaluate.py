@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tallies(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """outcomes(truth boolean, outcome in flag/clean/abstain, by...) -> total, flag, clean, abstain and the four cells."""
+def tallies(outcomes: DataFrame, by: list[str], sets: list[list[str]] | None = None) -> DataFrame:
+    """outcomes(truth boolean, outcome in flag/clean/abstain, by...) -> total, flag, clean, abstain and the four cells.
+
+    With sets, one pass counts for each of those subsets of by; what a subset leaves out is null.
+    """
     cell = lambda truth, what: F.count_if((F.col("truth") == truth) & (F.col("outcome") == what))
-    return outcomes.groupBy(*by).agg(
+    grouped = outcomes.groupBy(*by) if sets is None else outcomes.groupingSets([[F.col(c) for c in s] for s in sets], *by)
+    return grouped.agg(
         F.count("*").alias("total"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("flag", "clean", "abstain")],
         cell(True, "flag").alias("tp"), cell(False, "flag").alias("fp"), (F.count_if("truth") - cell(True, "flag")).alias("fn"), (F.count_if(~F.col("truth")) - cell(False, "flag")).alias("tn"),
     )

@@ -37,10 +37,12 @@ def with_fallback(keys: DataFrame, first: DataFrame, second: DataFrame, on: str,
 
 
 def published_links(records: DataFrame, id_col: str, person: str, title: str) -> DataFrame:
-    """Records of one first author whose titles have the same letters and digits, under different ids."""
-    keyed = records.select(F.col(id_col).alias("a"), F.col(person).alias("p"), F.regexp_replace(F.lower(title), "[^a-z0-9]", "").alias("t")).where("t <> ''")
-    other = keyed.select(F.col("a").alias("b"), "p", "t")
-    return keyed.join(other, ["p", "t"]).where("a <> b").select("a", "b")
+    """Records of one first author whose titles have the same letters and digits are versions of one work: id, work
+    (the smallest id of them) and versions (their number). Records without another version are left out; a work of
+    many versions is a row for each, never a row for each two."""
+    keyed = records.select(F.col(id_col).alias("id"), F.col(person).alias("p"), F.regexp_replace(F.lower(title), "[^a-z0-9]", "").alias("t")).where("t <> '' and p is not null")
+    works = keyed.groupBy("p", "t").agg(F.min("id").alias("work"), F.count_distinct("id").alias("versions")).where("versions > 1")
+    return keyed.join(works, ["p", "t"]).select("id", "work", "versions").distinct()
 
 
 def prefix_join(entries: DataFrame, records: DataFrame, chars: int = PREFIX_CHARS) -> DataFrame:
@@ -57,12 +59,14 @@ def prefix_join(entries: DataFrame, records: DataFrame, chars: int = PREFIX_CHAR
     return long.unionByName(short.join(fanned, "__p")).drop("__p")
 
 
-def extending_titles(entries: DataFrame, records: DataFrame, most_words: int = 40) -> DataFrame:
-    """Records whose title key is the entry's and more: every proper word prefix of a record's key is joined."""
+def extending_titles(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """Records whose title key is the entry's and more: an equi-join of entries on the word prefixes of records' keys,
+    of those lengths that entries have."""
+    entries = entries.where("title_key <> ''")
+    sizes = entries.select(F.size(F.split("title_key", " ")).alias("__n")).distinct()  # one row for each number of words
     words = F.split("record_key", " ")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(words) - 1, F.lit(most_words))), lambda n: F.array_join(F.slice(words, 1, n), " "))
-    fan = records.where(F.size(words) > 1).select("*", F.explode(prefixes).alias("title_key"))
-    return entries.where("title_key <> ''").join(fan, "title_key")
+    fan = records.join(F.broadcast(sizes), F.size(words) > F.col("__n")).withColumn("title_key", F.array_join(F.slice(words, 1, F.col("__n")), " ")).drop("__n")
+    return entries.join(fan, "title_key")
 
 
 def length_bound(a: Column, b: Column, least: float) -> Column:
@@ -99,12 +103,15 @@ def shared_word_pairs(entries: DataFrame, records: DataFrame, least: float) -> D
     return left.join(right, ["u", "v", "c"]).where(fits).select("key", "source_id").distinct()
 
 
-def at_coordinates(entries: DataFrame, records: DataFrame, years: int = 1) -> DataFrame:
-    """entries(key, volume, first_page, year) and records(source_id, volume, first_page, year, title_key): the one work
-    at a place in a journal; places with several works give nothing."""
-    got = entries.join(records.withColumnRenamed("year", "record_year"), ["volume", "first_page"]).where(F.abs(F.col("year") - F.col("record_year")) <= years)
-    one = got.groupBy("key").agg(F.count_distinct("title_key").alias("works"), F.min("source_id").alias("source_id"))
-    return one.where("works = 1").drop("works")
+def at_coordinates(entries: DataFrame, records: DataFrame, years: int = 1, place: tuple[str, ...] = ("volume", "first_page")) -> DataFrame:
+    """entries(key, place..., year) and records(source_id, place..., year, title_key): the one work at a place in a
+    journal; places with several works give nothing. place names the columns of the place, the journal among them
+    where both sides have it. Records are one row a place and year before they meet entries."""
+    spots = records.where("title_key is not null").groupBy(*place, "year").agg(F.min("title_key").alias("low"), F.max("title_key").alias("high"), F.min("source_id").alias("source_id"))
+    near = F.explode(F.sequence(F.col("year") - years, F.col("year") + years))
+    got = entries.select("key", *place, near.alias("year")).join(spots, [*place, "year"])
+    one = got.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("source_id").alias("source_id"))
+    return one.where("low = high").select("key", "source_id")
 
 
 def one_work(pairs: DataFrame, key: list[str], work: str, rank: list[Column], keep: list[str]) -> DataFrame:

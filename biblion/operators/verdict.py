@@ -132,6 +132,11 @@ def status_findings(bound: DataFrame, records: DataFrame) -> DataFrame:
     return got.select(rule.alias("rule"), severity.alias("severity"), "key", F.lit(None).cast("string").alias("field"), F.concat_ws(": ", "status", "note").alias("note")).where("rule is not null")
 
 
+def status_reporters(reports: DataFrame, key: list[str]) -> DataFrame:
+    """reports(key..., source): which sources report a status, in order, and how often it was reported (n)."""
+    return reports.groupBy(*key).agg(F.sort_array(F.collect_set("source")).alias("sources"), F.count("*").alias("n"))
+
+
 def missing_everywhere(missing: DataFrame, others: DataFrame) -> DataFrame:
     """missing(key, person) that no other record of the work names: others(key, person)."""
     return missing.join(others, ["key", "person"], "left_anti")

@@ -80,9 +80,9 @@ def title_keys(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("title_key"), text.word_count(F.col("p_name")).cast("long").alias("words"))
 
 
-@query("select doc_id, len(string_split(text, ' ')) as words from documents")
+@query(f"select doc_id, case when {SQL_KEY.format('text')} = '' then 0 else len(string_split({SQL_KEY.format('text')}, ' ')) end as words from documents")
 def word_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("words"))
+    return table(spark, sf, "documents").select("doc_id", F.size(text.words_of(text.fold(F.col("text")))).cast("long").alias("words"))
 
 
 @query("select page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') as host from pages")
@@ -159,7 +159,7 @@ def fallback_join(spark, sf):
 
 
 @query(f"""with k as (select key, lang as p, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') as t from {BIB})
-select a.key as a, b.key as b from k a join k b on a.p = b.p and a.t = b.t and a.key <> b.key where a.t <> ''""")
+select key as id, min(key) over (partition by p, t) as work, count(*) over (partition by p, t) as versions from k where t <> '' qualify versions > 1""")
 def published_links(spark, sf):
     return joins.published_links(d.bib(spark, sf), "key", "lang", "title")
 
@@ -172,10 +172,10 @@ def prefix_range(spark, sf):
     return joins.prefix_join(e, r).where("record_key <> title_key").select("key", "source_id")
 
 
-@query(f"""with e as (select source_id as key, {SQL_KEY.format("title")} as tk from {REGISTRY} where ord % 10 = 4), r as (select key as source_id, {SQL_KEY.format("title")} as rk from {BIB})
+@query(f"""with e as (select source_id as key, {SQL_KEY.format("title")} as tk from {REGISTRY}), r as (select key as source_id, {SQL_KEY.format("title")} as rk from {BIB})
 select key, source_id from e join r on starts_with(rk, tk || ' ') where tk <> ''""")
 def extending_titles(spark, sf):
-    e = d.registry(spark, sf).where("ord % 10 = 4").select(F.col("source_id").alias("key"), text.title_key(F.col("title")).alias("title_key"))
+    e = d.registry(spark, sf).select(F.col("source_id").alias("key"), text.title_key(F.col("title")).alias("title_key"))
     r = d.bib(spark, sf).select(F.col("key").alias("source_id"), text.title_key(F.col("title")).alias("record_key"))
     return joins.extending_titles(e, r).select("key", "source_id")
 
@@ -254,7 +254,10 @@ def severity_order_page(spark, sf):
 
 @query("select event_type as status, string_agg(distinct cast(user_id % 5 as varchar), ',' order by cast(user_id % 5 as varchar)) as sources, count(*) as n from events group by event_type")
 def status_reporters(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.array_join(F.sort_array(F.collect_set((F.col("user_id") % 5).cast("string"))), ",").alias("sources"), F.count("*").alias("n"))
+    from biblion.operators import verdict
+
+    reports = table(spark, sf, "events").select(F.col("event_type").alias("status"), (F.col("user_id") % 5).cast("string").alias("source"))
+    return verdict.status_reporters(reports, ["status"]).select("status", F.array_join("sources", ",").alias("sources"), "n")
 
 
 @query("select conv_id, string_agg(text, ' / ' order by turn, text) as whole from conversations group by conv_id")
@@ -284,7 +287,7 @@ def repeated_lines(spark, sf):
 _W = "list_filter(string_split(lower({}), ' '), lambda x: length(x) >= 4)"
 
 
-@query(f"""with c as (select item_id as claim_id, lang as work, {_W.format("b.text")} as t from benchmark b, (select distinct lang from documents) where item_id < 8),
+@query(f"""with c as (select item_id as claim_id, lang as work, {_W.format("b.text")} as t from benchmark b, (select distinct lang from documents)),
 p as (select lang as work, doc_id as idx, {_W.format("text")} as t from documents),
 st as (select work, count(*) as nd, avg(len(t)) as al from p group by work),
 ct as (select work, idx, token, count(*) as c from (select work, idx, unnest(t) as token from p) group by all),
@@ -300,7 +303,7 @@ def bm25_top4(spark, sf):
     docs = table(spark, sf, "documents")
     words = lambda c: F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 4)
     langs = docs.select(F.col("lang").alias("work")).distinct()
-    claims = table(spark, sf, "benchmark").where("item_id < 8").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     claims = claims.join(F.broadcast(langs), F.lit(True))  # few works, few claims
     passages = docs.select(F.col("lang").alias("work"), F.col("doc_id").alias("idx"), "text")
     out = support.bm25(claims, passages, 4, words(F.col("claim")), words(F.col("text")))
@@ -378,8 +381,7 @@ def eval_metrics(spark, sf):
 
 @query(f"select lang, source, count(*) as total, count_if(outcome = 'flag') as flag, count_if(outcome = 'abstain') as abstain from {_OUTCOMES} group by grouping sets ((lang), (source), ())")
 def eval_grouping_sets(spark, sf):
-    o, lang, source = _outcomes(spark, sf), F.col("lang"), F.col("source")
-    return o.groupingSets([[lang], [source], []], lang, source).agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "flag").alias("flag"), F.count_if(F.col("outcome") == "abstain").alias("abstain"))
+    return evaluate.tallies(_outcomes(spark, sf), ["lang", "source"], [["lang"], ["source"], []]).select("lang", "source", "total", "flag", "abstain")
 
 
 @query("""with t as (select lang, sum(quality) as k, count(*) as n from labels join documents using (doc_id) group by lang)
@@ -412,9 +414,10 @@ def top_k_per_group(spark, sf):
     return joins.top_k(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 20).select("doc_id", "lang")
 
 
-@query("""select doc_id, case when regexp_matches(lower(text), 'licensed under|released under') then 'method' else 'background' end as kind, substr(text, 1, 1) = upper(substr(text, 1, 1)) as capital from documents""")
+@query("""select doc_id, case when regexp_matches(lower(text), '[0-9]+(\\.[0-9]+)?\\s*%|(^|[^a-z0-9_])(outperform|improv|achiev|reach|show|found|report|demonstrat|observ)') then 'result'
+    when regexp_matches(lower(text), '(^|[^a-z0-9_])(propos|introduc|present|develop|use[sd]?|using|method|algorithm|architecture|dataset|approach|model)') then 'method' else 'background' end as kind from documents""")
 def claim_kinds(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(F.lower("text").rlike("licensed under|released under"), "method").otherwise("background").alias("kind"), (F.substring("text", 1, 1) == F.upper(F.substring("text", 1, 1))).alias("capital"))
+    return table(spark, sf, "documents").select("doc_id", text.claim_kind(F.col("text")).alias("kind"))
 
 
 @query("""with n as (select page_id, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.') as parts from pages)
@@ -431,7 +434,7 @@ def grouped_report(spark, sf):
 
 def _people(column):
     """Two people made of words of the text: the same for exact copies."""
-    w = F.filter(F.split(F.substring(column, 1, 2000), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
+    w = F.regexp_extract_all(column, F.lit(r"(\p{L}{3,})"), 1)
     name = lambda i: F.struct(F.initcap(F.coalesce(F.get(w, F.lit(i)), F.lit("Doe"))).alias("family"), F.initcap(F.coalesce(F.get(w, F.lit(i + 1)), F.lit("Jo"))).alias("given"), F.lit(None).cast("string").alias("literal"))
     return F.array(name(2), name(4))
 
@@ -545,12 +548,12 @@ def csl_scan(spark, sf):
     return got.select("key", F.coalesce(F.col("fields")["title"]["value"], F.lit("")).alias("title"), F.col("fields")["year"]["value"].alias("year"))
 
 
-@query(f"select 't' || cast(line as varchar) as file, key, 1 as line from {CITES} where line % 50 = 0")
+@query(f"select 't' || cast(line as varchar) as file, key, 1 as line from {CITES}")
 def latex_cites(spark, sf):
     """Citations written as LaTeX, with a comment and a verbatim part that hold none."""
     from biblion.sources import scan
 
-    c = d.cites(spark, sf).where("line % 50 = 0").withColumn("own", F.concat(F.lit("t"), F.col("line").cast("string")))
+    c = d.cites(spark, sf).withColumn("own", F.concat(F.lit("t"), F.col("line").cast("string")))
     body = F.concat(F.lit("See \\citep[p.~2]{"), "key", F.lit("}. % \\cite{no}\n\\verb|\\cite{no}|\n"))
     got = scan.cites(c.select(F.concat("own", F.lit(".tex")).alias("file"), F.encode(body, "UTF-8").alias("content")))
     return got.select(F.regexp_replace("file", r"\.tex$", "").alias("file"), "key", "line")

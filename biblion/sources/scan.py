@@ -87,19 +87,20 @@ def links(found: DataFrame) -> DataFrame:
     return found.select("file", "content").mapInPandas(run, RESOURCES)
 
 
-def project_files(edges: DataFrame, main: DataFrame, most: int = 64) -> DataFrame:
+def project_files(edges: DataFrame, main: DataFrame) -> DataFrame:
     """Files reached from each main file over include edges (file, target): file, root, depth. A cycle ends where a
-    file comes again; most bounds the depth of nesting."""
+    file comes again, so the rounds are no more than the files."""
+    from itertools import count
+
     from biblion.tables import stash
 
     step = reached = stash(main.select(F.col("file"), F.col("file").alias("root"), F.lit(0).alias("depth")), "reached")
-    for depth in range(1, most + 1):
+    for depth in count(1):
         got = step.select("file", "root").join(edges.select("file", "target"), "file").select(F.col("target").alias("file"), "root").distinct()
         step = stash(got.join(reached.select("file", "root"), ["file", "root"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if not step.limit(1).count():
-            break
+            return reached
         reached = reached.unionByName(step)
-    return reached
 
 
 def cycles(edges: DataFrame) -> DataFrame:
