@@ -21,6 +21,18 @@ SPELLINGS = (
 )
 
 
+# What registries make of symbols in titles (pattern in a folded key, and what it stands for), in order.
+REPAIRS = (
+    (r"\b([mlr]) (?:sub )?(?:sun|solar)\b", "$1 sun"),
+    (r"(?<![\p{L}\p{N}_])[lg]sim([\p{L}\p{N}_]{0,3}?)(?:[lg]sim)?(?![\p{L}\p{N}_])", "$1"),
+    (r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]{0,3}?)[lg]sim(?![\p{L}\p{N}_])", "$1"),
+    (r"\bapproximately equal to\b", ""),
+    (r"\bpart (?=(?:[ivx]+|\d+)\b)", ""),
+    (r"(?<=[a-z])0(?=[a-z])", "o"),
+    (r"\b(?:lambda ?)+(?=\d)", ""),
+)
+
+
 def _plain_letters() -> tuple[str, str]:
     """Letters with marks and their bare letters, from the Unicode data: Latin, Greek and Cyrillic blocks."""
     pairs = []
@@ -59,14 +71,8 @@ def title_key(c: Column) -> Column:
     """Key under which titles compare: folded words joined by single spaces, with known registry damage repaired."""
     c = F.regexp_replace(c, r"(?i)_\s*(?:[⋆★*]|star\b)", " ")
     key = F.array_join(words_of(fold(F.translate(c, "_×", " x"))), " ")
-    key = F.regexp_replace(key, r"\b([mlr]) (?:sub )?(?:sun|solar)\b", "$1 sun")
-    # \lsim and \gsim that lost their backslash, glued to a word of three letters at most
-    key = F.regexp_replace(key, r"(?<![\p{L}\p{N}_])[lg]sim([\p{L}\p{N}_]{0,3}?)(?:[lg]sim)?(?![\p{L}\p{N}_])", "$1")
-    key = F.regexp_replace(key, r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]{0,3}?)[lg]sim(?![\p{L}\p{N}_])", "$1")
-    key = F.regexp_replace(key, r"\bapproximately equal to\b", "")
-    key = F.regexp_replace(key, r"\bpart (?=(?:[ivx]+|\d+)\b)", "")
-    key = F.regexp_replace(key, r"(?<=[a-z])0(?=[a-z])", "o")
-    key = F.regexp_replace(key, r"\b(?:lambda ?)+(?=\d)", "")
+    for pattern, to in REPAIRS:
+        key = F.regexp_replace(key, pattern, to)
     return collapse(key)
 
 

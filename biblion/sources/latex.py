@@ -41,7 +41,7 @@ def mask(text: str) -> str:
     return "".join(out)
 
 
-def _group(text: str, i: int, pair: str) -> tuple[str, int] | None:
+def group(text: str, i: int, pair: str) -> tuple[str, int] | None:
     """The group that opens at i after spaces, and where it ends."""
     while i < len(text) and text[i].isspace():
         i += 1
@@ -64,9 +64,9 @@ def citations(text: str, extra: tuple[str, ...] = ()) -> list[dict]:
         if name != "nocite" and name not in SINGLE and not many and name not in extra:
             continue
         while True:
-            while (g := _group(masked, i, "[]")) or (many and (g := _group(masked, i, "()"))):
+            while (g := group(masked, i, "[]")) or (many and (g := group(masked, i, "()"))):
                 i = g[1]
-            got = _group(masked, i, "{}")
+            got = group(masked, i, "{}")
             if not got:
                 break
             at = got[1] - 1 - len(got[0])

@@ -13,6 +13,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 from biblion.sources.bibtex import latex_to_text
+from biblion.sources.latex import group
 
 # Types and fields of the formats.
 RIS_TYPES = {"JOUR": "article", "JFULL": "article", "MGZN": "article", "NEWS": "article", "CONF": "inproceedings", "CPAPER": "inproceedings", "BOOK": "book", "EBOOK": "book", "CHAP": "incollection", "ECHAP": "incollection", "THES": "phdthesis", "RPRT": "techreport", "COMP": "software", "DATA": "dataset", "ELEC": "online", "WEB": "online"}
@@ -147,17 +148,44 @@ def bbl(text: str, file: str = "") -> list[dict]:
         found.append((m[1], m[2], fields, text.count("\n", 0, m.start()) + 1, m[0]))
     if found:
         return _keyed(found, file)
-    starts = list(re.finditer(r"\\bibitem\s*(?:\[(?:[^\[\]{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\])?\s*\{([^{}]*)\}", text))
-    for m, after in zip(starts, [*starts[1:], None]):
-        block = text[m.end() : after.start() if after else len(text)].split("\\end{thebibliography}")[0]
+    starts = bibitems(text)
+    for (at, key, body), after in zip(starts, [*starts[1:], None]):
+        block = text[body : after[0] if after else len(text)].split("\\end{thebibliography}")[0]
         kind, fields = _bibitem(block)
-        found.append((m[1], kind, fields, text.count("\n", 0, m.start()) + 1, m[0] + block))
+        found.append((key, kind, fields, text.count("\n", 0, at) + 1, text[at:body] + block))
     return _keyed(found, file)
 
 
+def bibitems(text: str) -> list[tuple[int, str, int]]:
+    """(start, key, start of what follows) of each bibitem, with or without a label."""
+    out, command = [], "\\bibitem"
+    at = text.find(command)
+    while at >= 0:
+        end = at + len(command)
+        label = group(text, end, "[]")
+        key = group(text, label[1] if label else end, "{}")
+        if key:
+            out.append((at, key[0], key[1]))
+            end = key[1]
+        at = text.find(command, end)
+    return out
+
+
+def bibinfos(block: str) -> dict[str, str]:
+    """What the bibinfo commands of a bibitem name."""
+    out, at = {}, block.find("\\bibinfo")
+    while at >= 0:
+        name = group(block, at + len("\\bibinfo"), "{}")
+        value = group(block, name[1], "{}") if name else None
+        if value:
+            out[name[0].lower()] = latex_to_text(value[0])
+        at = block.find("\\bibinfo", at + 1)
+    return out
+
+
 def _bibitem(block: str) -> tuple[str, dict]:
     """Fields of a bibitem: what bibinfo names, else the blocks authors, title, venue."""
-    named = {k.lower(): latex_to_text(v) for k, v in re.findall(r"\\bibinfo\s*\{([^{}]*)\}\s*\{((?:[^{}]|\{[^{}]*\})*)\}", block)}
+    named = bibinfos(block)
     blocks = [latex_to_text(b) for b in block.split("\\newblock")]
     fields = {k: v for k, v in named.items() if k in ("title", "journal", "year", "volume", "pages", "publisher", "booktitle", "doi", "author")}
     if not fields and len(blocks) < 2:
@@ -275,13 +303,21 @@ def drop_running_lines(lines: list[str], least: int = 3, longest: int = 90) -> l
     return [x for x in lines if not key(x) or len(key(x)) >= longest or seen[key(x)] < least]
 
 
+def starts_appendix(line: str) -> bool:
+    """A heading such as "Appendix A" or "B. Supplementary material"."""
+    words = [w.strip(".:").lower() for w in line.split()]
+    if len(words) > 1 and len(words[0]) == 1 and words[0].isalpha():
+        words = words[1:]
+    return words[:1] in (["appendix"], ["appendices"]) or words[:2] == ["supplementary", "material"]
+
+
 def reference_section(text: str) -> tuple[int, str]:
     """(line, text) after the last reference heading, up to an appendix."""
     lines = text.split("\n")
     at = max((i for i, x in enumerate(lines) if HEADING.match(x)), default=-1)
     out = []
     for x in lines[at + 1 :]:
-        if out and re.match(r"^\s*(?:[A-Z]\.?\s+)?(appendix|appendices|supplementary material)\b", x, re.I):
+        if out and starts_appendix(x):
             break
         out.append(x)
     return at + 2, "\n".join(drop_running_lines(out))
@@ -364,56 +400,219 @@ def names_text(text: str) -> str:
     return " and ".join([p for p in people if p] + ["others"] * others)
 
 
+PAGES = re.compile(r"[A-Za-z]?\d+(?:\s*[-–—]+\s*[A-Za-z]?\d+)?")
+MEETINGS = ("proc.", "proceedings", "conference", "workshop", "symposium")
+HOUSES = ("press", "publish", "springer", "wiley", "elsevier", "verlag")
+PERIODICALS = ("j", "journal", "trans", "review", "letters", "nature", "science")
+
+
+def _end_digits(text: str) -> str:
+    bare = text.rstrip()
+    return bare[len(bare.rstrip("0123456789")) :]
+
+
+def _first_pages(text: str) -> str | None:
+    """The pages that a text starts with, after ":", "," and "pp."."""
+    text = text.lstrip(" :,")
+    for mark in ("pp.", "pp", "p.", "pages"):
+        if text.lower().startswith(mark):
+            text = text[len(mark) :].lstrip()
+            break
+    m = PAGES.match(text)
+    return m[0] if m else None
+
+
+def numbering(rest: str) -> dict:
+    """Volume, number and pages of what follows a journal's name: 12(3):45-67, vol. 12, 12, 45."""
+    at = rest.find("(")
+    while at >= 0:
+        volume, close = _end_digits(rest[:at]), rest.find(")", at)
+        inside = rest[at + 1 : close].strip() if close > 0 else ""
+        if 0 < len(volume) < 5 and 0 < len(inside) < 9 and " " not in inside:
+            return {"volume": volume, "number": inside, "pages": _first_pages(rest[close + 1 :])}
+        at = rest.find("(", at + 1)
+    out: dict = {}
+    words = rest.replace(":", " : ").replace(",", " , ").split()
+    for one, two, three in zip(words, [*words[1:], ""], [*words[2:], ""]):
+        if one.lower().strip(".") in ("vol", "volume") and two.isdigit():
+            out = {"volume": two}
+            break
+        if one.isdigit() and len(one) < 5 and two in (":", ",") and (PAGES.match(three) or three.lower().startswith("p")):
+            out = {"volume": one}
+            break
+    for i, w in enumerate(words):
+        pages = _first_pages(" ".join(words[i + 1 : i + 4])) if w == ":" or w.lower().strip(".") in ("p", "pp", "pages") else None
+        if pages and any(c in pages for c in "-–—"):
+            return out | {"pages": pages}
+    return out
+
+
+def _name_until(rest: str, ends: tuple[str, ...]) -> str:
+    """The words of a name up to a number, a bracket or one of ends."""
+    out = []
+    for w in rest.split():
+        if w[0].isdigit() or w[0] == "(" or w.lower().rstrip(".,") in ends:
+            break
+        out.append(w)
+        if w[-1] in ".,;" and len(w) > 4 and w[-1] != ",":
+            break
+    return " ".join(out).strip(" .,")
+
+
 def venue(rest: str) -> tuple[str, dict]:
     """Type and fields of what follows a title: the container, volume, number, pages, publisher."""
     rest = rest.strip(" .,")
-    out: dict = {}
-    if m := re.search(r"\b(\d{1,4})\s*\(\s*([\w-]{1,8})\s*\)\s*[:,]?\s*(?:pp?\.?\s*)?([A-Za-z]?\d+(?:\s*[-–—]+\s*[A-Za-z]?\d+)?)?", rest):
-        out = {"volume": m[1], "number": m[2], "pages": m[3]}
-    elif m := re.search(r"(?:vol(?:ume)?\.?\s*)(\d+)", rest, re.I) or re.search(r",?\s(\d{1,4})\s*[,:]\s*(?:pp?\.?\s*)?\d", rest):
-        out = {"volume": m[1]}
-    if not out.get("pages") and (m := re.search(r"(?:pp?\.?\s*|:\s*)([A-Za-z]?\d+\s*[-–—]+\s*[A-Za-z]?\d+)", rest)):
-        out["pages"] = m[1]
-    conference = re.match(r"^In:?\s+(.*)$", rest, re.S) or re.search(r"\b((?:Proc(?:eedings|\.)|Conference|Workshop|Symposium)\b.*)$", rest)
-    if conference:
-        name = re.split(r",\s*(?:pages?|pp?\.|vol)|,\s*(?:19|20)\d\d|\.\s", conference[1], maxsplit=1)[0].strip(" .,")
-        return "inproceedings", {"booktitle": name} | {k: v for k, v in out.items() if v}
-    if re.search(r"arxiv", rest, re.I):
+    out = {k: v for k, v in numbering(rest).items() if v}
+    words = rest.split()
+    low = [w.lower() for w in words]
+    start = 1 if low[:1] in (["in"], ["in:"]) else next((i for i, w in enumerate(low) if w.strip(",") in MEETINGS), None)
+    if start is not None and len(words) > start:
+        name = []
+        for piece in " ".join(words[start:]).split(", "):
+            first = piece.split()[0].lower().strip(".") if piece.split() else ""
+            if name and (first[:1].isdigit() or first in ("page", "pages", "p", "pp", "vol", "volume")):
+                break
+            name.append(piece)
+        return "inproceedings", {"booktitle": re.split(r"(?<=[a-z0-9)])\. ", ", ".join(name), maxsplit=1)[0].strip(" .,")} | out
+    if "arxiv" in rest.lower():
         return "misc", {"howpublished": rest}
-    name = re.split(r",?\s*(?:vol(?:ume)?\.?\s*)?\d|\(|,\s*(?:pp?\.|no\.)", rest, maxsplit=1)[0].strip(" .,")
+    name = _name_until(rest, ("vol", "volume", "p", "pp", "no"))
     if out.get("volume") and name:
-        return "article", {"journal": name} | {k: v for k, v in out.items() if v}
-    if re.search(r"\b(Press|Publish|Springer|Wiley|Elsevier|Verlag)", rest):
+        return "article", {"journal": name} | out
+    if any(w.startswith(HOUSES) for w in low):
         return "book", {"publisher": name}
-    return ("article", {"journal": name}) if name and re.search(r"\b(J|Journal|Trans|Review|Letters|Nature|Science)\b", name) else ("misc", {"howpublished": name} if name else {})
+    if name and any(w.strip(".,") in PERIODICALS for w in low):
+        return "article", {"journal": name}
+    return "misc", {"howpublished": name} if name else {}
+
+
+# Readers of a style: names, title, rest and, where the style says it, year; tried in this order.
+
+QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»"}
+YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
+
+
+def sentence(text: str) -> tuple[str, str] | None:
+    """A first sentence of five characters or more, and what follows it; initials do not end one."""
+    for i in range(5, len(text) - 1):
+        if text[i] in ".?!" and text[i + 1] == " " and not (text[i] == "." and text[i - 1].isupper() and not text[i - 2 : i - 1].isalpha()):
+            return text[:i], text[i + 1 :].strip()
+    return None
+
+
+def _quoted(text: str) -> dict | None:
+    at = min((i for i in (text.find(q) for q in QUOTES) if i > 3), default=-1)
+    close = text.find(QUOTES[text[at]], at + 1) if at > 0 else -1
+    if close < at + 6:
+        return None
+    before = text[:at].rstrip(" ,.")
+    year = None
+    if before.endswith(")") and (m := YEAR.match(before, before.rfind("(") + 1)):
+        year, before = m[0], before[: before.rfind("(")].rstrip(" ,.")
+    return {"names": before, "title": text[at + 1 : close].rstrip(",.?!"), "rest": text[close + 1 :].lstrip(",. "), "year": year}
+
+
+def _apa(text: str) -> dict | None:
+    """Names (year). Title. Rest."""
+    for m in YEAR.finditer(text):
+        if text[m.start() - 1] == "(" and (close := text.find(")", m.end())) > 0:
+            got = sentence(text[close + 1 :].lstrip(" .,:"))
+            return {"names": text[: m.start() - 1].rstrip(), "year": m[0], "title": got[0], "rest": got[1]} if got else None
+    return None
+
+
+def _untitled(text: str) -> dict | None:
+    """Names year, journal, volume, page."""
+    pieces = [x.strip() for x in text.split(",")]
+    for i, piece in enumerate(pieces[:-3]):
+        head, _, last = piece.rpartition(" ")
+        if YEAR.match(last) and len(last) < 6 and pieces[i + 2].isdigit() and PAGES.match(pieces[i + 3]) and pieces[i + 1][:1].isupper():
+            return {"names": ", ".join([*pieces[:i], head]), "year": last[:4], "title": "", "rest": ", ".join(pieces[i + 1 :])}
+    return None
+
+
+def _is_initials(piece: str) -> bool:
+    """J., J. R., J.-R. and so on."""
+    letters = piece.replace("-", " ").replace(".", ". ").split()
+    return 0 < len(letters) < 5 and all(len(x) == 2 and x[0].isupper() and x[1] == "." for x in letters)
+
+
+def _family_first(text: str) -> dict | None:
+    """Family, I. I., Family, I. Title. Rest with a year."""
+    pieces = text.replace(";", ",").replace(" & ", ", ").replace(" and ", ", ").split(",")
+    at = used = 0
+    while at + 1 < len(pieces):
+        words = pieces[at + 1].split()
+        n = 0
+        while n < len(words) and _is_initials(words[n].rstrip(":")):
+            n += 1
+        if not n or not pieces[at].strip()[:1].isalpha() or len(pieces[at].split()) > 4:
+            break
+        used = text.find(" ".join(words[:n]), used) + len(" ".join(words[:n]))
+        at += 2
+        if n < len(words):
+            break
+    names, tail = text[:used].rstrip(":"), text[used:].lstrip(" ,;:&")
+    if tail.startswith("et al"):
+        names, tail = names + " et al.", tail.removeprefix("et al").lstrip(" .,:")
+    got = sentence(tail) if used and tail[:1].isupper() else None
+    year = YEAR.findall(got[1]) if got else []
+    return {"names": names, "title": got[0], "rest": got[1], "year": year[0]} if year else None
+
+
+def _vancouver(text: str) -> dict | None:
+    """Family IJ, Family K. Title. Rest with a year."""
+    head, stop, tail = text.partition(". ")
+    people = [p for p in (x.strip() for x in head.split(",")) if p and p != "et al"]
+    short = lambda p: len(p.split()) > 1 and p.split()[-1].isalpha() and p.split()[-1].isupper() and len(p.split()[-1]) < 4
+    got = sentence(tail) if stop and people and all(map(short, people)) else None
+    year = YEAR.findall(got[1]) if got else []
+    return {"names": head, "title": got[0], "rest": got[1], "year": year[0]} if year else None
+
+
+def _year_after(text: str) -> dict | None:
+    """Names. Year. Title. Rest."""
+    for m in YEAR.finditer(text):
+        if text[: m.start()].endswith(". ") and (after := re.match(r"[a-z]?\. ", text[m.end() :])):
+            got = sentence(text[m.end() + after.end() :])
+            return {"names": text[: m.start()].rstrip(" ."), "year": m[0], "title": got[0], "rest": got[1]} if got else None
+    return None
+
+
+def _sentences(text: str) -> dict | None:
+    """Names. Title. Rest with a year."""
+    first = sentence(text)
+    second = sentence(first[1]) if first else None
+    year = YEAR.findall(second[1]) if second else []
+    return {"names": first[0], "title": second[0], "rest": second[1], "year": year[0]} if year else None
+
+
+def _initials_first(text: str) -> dict | None:
+    """I. Family, I. Family, Title, rest with a year."""
+    pieces = text.split(", ")
+    n = 0
+    while n < len(pieces) and len(pieces[n].split()) > 1 and _is_initials(pieces[n].split()[0]):
+        n += 1
+    rest = ", ".join(pieces[n + 1 :])
+    year = YEAR.findall(rest)
+    return {"names": ", ".join(pieces[:n]), "title": pieces[n], "rest": rest, "year": year[0]} if n and year and pieces[n][:1].isupper() else None
 
 
-# One pattern a style: names, year, title and the rest, tried in this order.
-STYLES = (
-    ("quoted", re.compile(r"^(?P<names>.{3,400}?)[,.]\s*(?:\((?P<year>(?:19|20)\d\d)[a-z]?\)\.?\s*)?[\"“‘«](?P<title>.{5,400}?)[,.?!]?[\"”’»][,.]?\s*(?P<rest>.*)$", re.S)),
-    ("apa", re.compile(r"^(?P<names>.{3,400}?)\s*\((?P<year>(?:19|20)\d\d)[a-z]?(?:,[^)]*)?\)[.,:]?\s*(?P<title>.{5,400}?)[.?!]\s+(?P<rest>.*)$", re.S)),
-    ("no title", re.compile(r"^(?P<names>(?:[A-Z][\w’'-]+,\s+(?:[A-Z]\.[\s-]?)+,?\s*(?:&\s*)?)+)(?P<year>(?:19|20)\d\d)[a-z]?,\s+(?P<rest>[A-Z][\w&]*(?:\s[A-Z][\w&]*)?,\s*\d+,\s*[A-Z]?\d+.*)$", re.S)),
-    ("initials", re.compile(r"^(?P<names>(?:[\w’' -]+,\s+(?:[A-Z]\.[\s-]?)+(?:,|;|:|\s&|\sand|\set al\.)?\s*)+)[:.]?\s*(?P<title>[A-Z].{5,400}?)[.?!]\s+(?P<rest>.*?\(?(?P<year>(?:19|20)\d\d)\)?.*)$", re.S)),
-    ("vancouver", re.compile(r"^(?P<names>(?:[\w’'-]+(?:\s[\w’'-]+)?\s[A-Z]{1,3},?\s*)+(?:et al)?)\.\s*(?P<title>.{5,400}?)[.?!]\s+(?P<rest>.*?(?P<year>(?:19|20)\d\d).*)$", re.S)),
-    ("year after", re.compile(r"^(?P<names>.{3,400}?)\.\s+(?P<year>(?:19|20)\d\d)[a-z]?\.\s+(?P<title>.{5,400}?)[.?!]\s+(?P<rest>.*)$", re.S)),
-    ("sentences", re.compile(r"^(?P<names>.{3,400}?[\w]{3,})\.\s+(?P<title>.{5,400}?)[.?!]\s+(?P<rest>.*?(?P<year>(?:19|20)\d\d).*)$", re.S)),
-    ("numbered", re.compile(r"^(?P<names>(?:(?:[A-Z]\.[\s-]?)+[\w’'-]+,\s*)+)(?P<title>[A-Z].{5,400}?),\s+(?P<rest>.*?(?P<year>(?:19|20)\d\d).*)$", re.S)),
-)
+STYLES = (_quoted, _apa, _untitled, _family_first, _vancouver, _year_after, _sentences, _initials_first)
 
 
 def parse_reference(text: str) -> tuple[str, dict]:
     """Type and fields of one formatted reference: the first style whose names look like names."""
     text = re.sub(r"\s+", " ", text).strip()
-    for name, pattern in STYLES:
-        m = pattern.match(text)
-        if not m or not looks_like_names(m["names"]):
+    for style in STYLES:
+        got = style(text)
+        if not got or not looks_like_names(got["names"]):
             continue
-        got = m.groupdict()
-        kind, fields = venue(re.sub(r"https?://\S+|\bdoi:?\s*\S+|\b10\.\d{4,9}/\S+", "", got["rest"]))
-        year = got.get("year") or next(iter(re.findall(r"\b((?:19|20)\d\d)\b", got["rest"])), None)
-        fields |= {"author": names_text(got["names"]), "title": (got.get("title") or "").strip(" ,."), "year": year}
+        kind, fields = venue(" ".join(w for w in got["rest"].split() if "://" not in w and "10." not in w[:8].lower().removeprefix("doi:") and w.lower().rstrip(":") != "doi"))
+        year = got.get("year") or next(iter(YEAR.findall(got["rest"])), None)
+        fields |= {"author": names_text(got["names"]), "title": got["title"].strip(" ,."), "year": year}
         return kind, {k: v for k, v in (fields | running_ids(text)).items() if v}
-    year = re.findall(r"\b((?:19|20)\d\d)\b", text)
+    year = YEAR.findall(text)
     return "misc", {k: v for k, v in ({"note": text, "year": year[-1] if year else None} | running_ids(text)).items() if v}
 
 

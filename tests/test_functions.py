@@ -141,3 +141,26 @@ def test_year_status(spark):
     df = spark.createDataFrame(rows, "k string, y int, ys array<int>, v string, rv string, t string")
     got = df.select("k", scoring.year_status(F.col("y"), F.col("ys"), F.col("v"), F.col("rv"), F.col("t"), 2024).alias("s")).orderBy("k").collect()
     assert [r.s for r in got] == ["match", "variant", "mismatch", "unknown", "match", "variant"]
+
+
+@pytest.mark.parametrize(
+    "ours,theirs,status",
+    [
+        ("A study of parsing (Zur Theorie der Sprache)", "A study of parsing", "match"),
+        ("Learning of useful things (FastThing2)", "Learning of useful things", "variant"),
+        ("Learning of useful things, in Handbook of Many Methods", "Learning of useful things", "variant"),
+        ("Collected works on algebra, vol. 3: groups", "Collected works on algebra", "variant"),
+        ("Chapter 4: Learning of useful things", "Learning of useful things", "match"),
+        ("Learning of useful things", "Learning of useful things (2nd edition)", "match"),
+        ("Learning of useful things", "Learning of useful things, second edition", "match"),
+        ("Learning of useful things", "Learning of useful things. Plates.", "match"),
+        ("Learning of useful things", "Learning of useful things (with discussion)", "match"),
+        ("Learning of useful things", "Learning of useful things [in French]", "match"),
+        ("Networks that learn", "Networks that learn (NTL)", "match"),
+        ("Learning of useful things", "Forgetting of useless things", "mismatch"),
+    ],
+)
+def test_title_additions(ours, theirs, status):
+    from biblion.operators.scoring import check_title
+
+    assert check_title(ours, theirs)["status"] == status

@@ -4,6 +4,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from biblion.sources import bibtex, latex, lists, scan
 from biblion.sources.textio import Lines, decode
 
@@ -99,3 +101,34 @@ def test_scans(spark, tmp_path):
     edges = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "a")], "file string, target string")
     assert {r.file for r in scan.cycles(edges).collect()} == {"a", "b"}
     assert {(r.file, r.depth) for r in scan.project_files(edges, spark.createDataFrame([("m",)], "file string")).collect()} == {("m", 0), ("a", 1), ("b", 2)}
+
+
+STYLED = [
+    ("Knuth, D. E. (1984a). Is programming literate? The Computer Journal, 27(2), 97-111.", "article", "Knuth, D. E.", "Is programming literate", "1984", {"journal": "The Computer Journal", "volume": "27", "number": "2", "pages": "97-111"}),
+    ("Abbott, B. P., Smith, J., 2016, ApJ, 818, L22", "article", "Abbott, B. P. and Smith, J.", None, "2016", {}),
+    ("Knuth, D. E., Lamport, L.: Literate programming in practice. In: Proceedings of the Great Conference, pp. 97–111. Springer (1984)", "inproceedings", "Knuth, D. E. and Lamport, L.", "Literate programming in practice", "1984", {"booktitle": "Proceedings of the Great Conference"}),
+    ("Knuth DE, Lamport L. Literate programming in practice. Comput J. 1984;27(2):97-111.", "article", "Knuth, D. E. and Lamport, L.", "Literate programming in practice", "1984", {"volume": "27", "number": "2", "pages": "97-111"}),
+    ("Donald Knuth and Leslie Lamport. 1984. Literate programming in practice. The Computer Journal 27, 2 (1984), 97–111.", "article", "Donald Knuth and Leslie Lamport", "Literate programming in practice", "1984", {"journal": "The Computer Journal"}),
+    ("Donald Knuth and Leslie Lamport. Literate programming in practice. The Computer Journal, 27(2):97–111, 1984.", "article", "Donald Knuth and Leslie Lamport", "Literate programming in practice", "1984", {"journal": "The Computer Journal", "volume": "27", "number": "2", "pages": "97–111"}),
+    ("D. E. Knuth, L. Lamport, Literate programming in practice, The Computer Journal 27 (2) (1984) 97–111.", "article", "D. E. Knuth and L. Lamport", "Literate programming in practice", "1984", {"journal": "The Computer Journal", "volume": "27", "number": "2"}),
+    ("Vaswani, A. et al. Attention is all you need. arXiv:1706.03762 (2017).", "misc", "Vaswani, A. and others", "Attention is all you need", "2017", {"eprint": "1706.03762"}),
+]
+
+
+@pytest.mark.parametrize("text,kind,author,title,year,more", STYLED)
+def test_styles(text, kind, author, title, year, more):
+    got_kind, f = lists.parse_reference(text)
+    assert (got_kind, f.get("author"), f.get("title"), f.get("year")) == (kind, author, title, year)
+    assert {k: f.get(k) for k in more} == more
+
+
+def test_bibitems_with_brackets_in_their_labels():
+    text = "\\bibitem[{Smith [2]}]{a} A. Smith.\n\\newblock One title.\n\\newblock Some Journal, 3(1):1--2, 2001.\n\\bibitem{b} \\bibinfo{author}{B. Jones}, \\bibinfo{title}{Two {T}itles}, \\bibinfo{year}{2002}."
+    one, two = lists.bbl(text)
+    assert (one["key"], one["fields"]["title"]["value"], one["fields"]["year"]["value"], one["fields"]["volume"]["value"]) == ("a", "One title", "2001", "3")
+    assert (two["key"], two["fields"]["title"]["value"], two["fields"]["author"]["value"], two["fields"]["year"]["value"]) == ("b", "Two Titles", "B. Jones", "2002")
+
+
+def test_appendix_ends_the_references():
+    line, text = lists.reference_section("Text\nReferences\n[1] One. 2000.\nAppend it later. 2001.\nA. Supplementary material\nmore")
+    assert line == 3 and text == "[1] One. 2000.\nAppend it later. 2001."
