@@ -102,6 +102,11 @@ def answers(entries: DataFrame, evidence: DataFrame, sources: DataFrame) -> Data
 
 
 def run_findings(outcomes: DataFrame, substitutes: DataFrame | None = None) -> DataFrame:
-    """RUN001 and RUN002: sources that did not answer, the entries affected and the reasons."""
+    """RUN001: sources that did not answer, the entries affected and the reasons. RUN002: sources for which a substitute
+    answered, with what substitutes(key, source, substitute) it was."""
     out = outcomes.where("outcome = 'unavailable'").groupBy("source").agg(F.count_distinct("key").alias("affected"), F.array_join(F.sort_array(F.collect_set("reason")), ", ").alias("reasons"))
-    return out.select(F.lit("RUN001").alias("rule"), F.lit("warning").alias("severity"), "source", "affected", "reasons")
+    out = out.select(F.lit("RUN001").alias("rule"), F.lit("warning").alias("severity"), "source", "affected", "reasons")
+    if substitutes is None:
+        return out
+    stood = substitutes.groupBy("source").agg(F.count_distinct("key").alias("affected"), F.array_join(F.sort_array(F.collect_set("substitute")), ", ").alias("reasons"))
+    return out.unionByName(stood.select(F.lit("RUN002").alias("rule"), F.lit("info").alias("severity"), "source", "affected", "reasons"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from biblion.functions import idents, names
 from biblion.functions.text import title_key, word_count
-from biblion.operators import hygiene, resolve, scoring, verdict
+from biblion.operators import hygiene, late, resolve, scoring, verdict
 from biblion.plans.rules import RULES
 from biblion.sources import scan
 from biblion.tables import stash
@@ -23,6 +23,18 @@ FINDING = ("rule", "severity", "key", "field", "file", "line", "message")
 EXIT = {"clean": 0, "blocking": 1, "incomplete": 2, "usage": 3, "internal": 4}
 
 
+class Evidence(NamedTuple):
+    """What else could be asked, each a table or left out (then the rules that need it say nothing)."""
+
+    agencies: DataFrame | None = None  # doi, agency, exists (null: no answer)
+    catalogues: tuple[DataFrame, ...] = ()  # name of a venue
+    software: DataFrame | None = None  # kind, name, exists
+    pages: DataFrame | None = None  # url, code
+    archived: DataFrame | None = None  # url
+    substitutes: DataFrame | None = None  # key, source, substitute
+    chinese_journals: tuple[str, ...] = ()
+
+
 class Report(NamedTuple):
     entries: DataFrame
     cites: DataFrame
@@ -50,6 +62,8 @@ def entry_info(entries: DataFrame) -> DataFrame:
         "key", "file", "line", F.coalesce(text("title"), text("chapter")).alias("title"), F.col("who.people").alias("authors"), F.col("who.truncated").alias("truncated"), year.alias("year"), venue.alias("venue"),
         F.coalesce(*[text(n) for n in VENUE_FIELDS[:3]]).isNotNull().alias("venue_named"), (text("journal").isNotNull() | text("journaltitle").isNotNull()).alias("journal"), text("volume").alias("volume"), idents.first_page(text("pages")).alias("first_page"),
         F.array_compact(F.array(idents.issn(text("issn")))).alias("issns"), idents.normalize_doi(value("doi")).alias("doi"), "entry_type", F.exists(hosts, lambda h: (h != "") & ~known(h)).alias("link_unindexed"),
+        F.concat_ws(" ", text("note"), text("titleaddon"), text("howpublished")).alias("remarks"), F.coalesce(value("langid"), value("language")).alias("language"),
+        F.array_distinct(idents.links(F.concat_ws(" ", *[value(n) for n in ("url", "howpublished", "note")]))).alias("urls"),
     )
 
 
@@ -59,8 +73,8 @@ def _finding(df: DataFrame, rule: str, message: Column, *, key="key", field: Col
     return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), cell(key, "string").alias("key"), (F.lit(None).cast("string") if field is None else field).alias("field"), cell(file, "string").alias("file"), cell(line, "int").alias("line"), message.alias("message"))
 
 
-def offline_findings(entries: DataFrame, issues: DataFrame, cites: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """CIT, TEX and REF017 findings."""
+def offline_findings(entries: DataFrame, issues: DataFrame, cites: DataFrame, links: DataFrame | None = None, books: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """CIT, TEX and REF017 findings. books and texts are the files, for what is declared but missing or unreadable."""
     kind = lambda k: issues.where(F.col("kind") == k)
     firsts = hygiene.first_of(entries, ["key"], [F.col("file"), F.col("line")])
     ids = resolve.identifiers(firsts.select("key", F.transform_values("fields", lambda _, v: v["value"]).alias("fields")))
@@ -86,10 +100,11 @@ def offline_findings(entries: DataFrame, issues: DataFrame, cites: DataFrame, li
         edges = links.where("kind = 'include'").select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.regexp_extract("target", r"([^/]+)$", 1).alias("target"))
         parts.append(_finding(scan.cycles(edges), "TEX002", F.lit("files include each other")))
         parts.append(_finding(links.where("kind = 'bib' and target rlike '^https?://'"), "TEX003", F.col("target")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if books is not None and texts is not None:
+            parts.append(_finding(scan.missing_targets(books, links, "bib"), "CIT005", F.concat(F.lit("no such file: "), "target")))
+            parts.append(_finding(scan.missing_targets(texts, links, "include"), "TEX001", F.concat(F.lit("no such file: "), "target")))
+            parts.append(_finding(scan.unreadable(texts), "TEX004", F.lit("not a text file")))
+    return _union(parts)
 
 
 def suppressed(findings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -108,18 +123,61 @@ def _published(bound: DataFrame, records: DataFrame) -> DataFrame:
     return verdict.published_versions(keyed(bound.where(preprint)).select("key", "title_key", "author"), keyed(records.where(~preprint)).select("title_key", "author", "source_id", "year", "venue"))
 
 
-def check(spark: SparkSession, path: str, records: DataFrame | None = None, sources: DataFrame | None = None, current_year: int = 2024) -> Report:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def entry_flags(info: DataFrame, ids: DataFrame, evidence: Evidence) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(info with live_identifier, venue_known and translated; dead identifiers (key, value); catalogue of each venue)."""
+    out, dead, shelves = info, None, None
+    if evidence.agencies is not None:
+        told = stash(ids.where("scheme = 'doi'").select("key", F.col("value").alias("doi")).join(evidence.agencies.select("doi", "exists"), "doi"), "told")
+        dead = told.where("not exists").select("key", F.col("doi").alias("value"))
+        out = out.join(told.groupBy("key").agg(F.bool_or("exists").alias("live_identifier")), "key", "left")
+    if evidence.catalogues:
+        shelves = stash(late.venue_known(info.select("key", "venue"), *evidence.catalogues), "shelves")
+        out = out.join(shelves.select("key", F.col("catalogue").isNotNull().alias("venue_known")), "key", "left")
+    for flag in ("live_identifier", "venue_known"):
+        out = out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) if flag in out.columns else F.lit(False))
+    journals = evidence.chinese_journals or (r"\b\B",)  # a pattern that nothing fits
+    return out.withColumn("translated", verdict.translated(F.col("title"), F.col("venue"), F.col("remarks"), journals, F.col("language"))), dead, shelves
+
+
+def late_findings(info: DataFrame, bound: DataFrame, evidence: Evidence, shelves: DataFrame | None) -> list[DataFrame]:
+    """REF019, REF020 and REF021."""
+    row = lambda df, rule, severity, field, note: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key", F.lit(field).cast("string").alias("field"), note.alias("note"))
+    out = []
+    if evidence.software is not None:
+        own = info.select("key", "title", idents.software_links(F.array_join("urls", " ")).alias("links"))
+        out.append(row(late.software(own, evidence.software).where("status = 'missing'"), "REF019", "info", "url", F.col("name")))
+    if shelves is not None:
+        preprint = F.coalesce((F.col("source") == "arxiv") | F.col("work_type").isin(*scoring.PREPRINT_TYPES), F.lit(False))
+        known_else = bound.groupBy("key").agg(F.bool_and(preprint).alias("only_preprint")).where("only_preprint")
+        unknown = shelves.where("catalogue is null").join(known_else, "key", "left_semi")
+        named = info.where(F.col("venue_named") & ~F.coalesce(F.lower("venue").rlike("arxiv|preprint|corr"), F.lit(False))).select("key", "venue")
+        out.append(row(unknown.join(named, "key"), "REF020", "warning", "venue", F.col("venue")))
+    if evidence.pages is not None:
+        pages = info.select("key", F.explode("urls").alias("url"))
+        archived = evidence.archived if evidence.archived is not None else evidence.pages.select("url").limit(0)
+        out.append(row(late.gone_pages(pages, evidence.pages, archived), "REF021", "info", "url", F.col("url")))
+    return out
+
+
+def check(spark: SparkSession, path: str, records: DataFrame | None = None, sources: DataFrame | None = None, current_year: int = 2024, evidence: Evidence = Evidence()) -> Report:
     """path: a folder; records: registry records (biblion.sources.registries), without which only the offline rules run;
     sources(source, available, reason): which registries could be asked."""
     books, texts = scan.files(spark, path, BIBLIOGRAPHIES), scan.files(spark, path, DOCUMENTS)
     entries = stash(scan.entries(books), "entries")
     issues, cites, links = stash(scan.issues(books), "issues"), stash(scan.cites(texts), "cites"), stash(scan.links(texts), "links")
-    findings = offline_findings(entries, issues, cites, links)
+    findings = offline_findings(entries, issues, cites, links, books, texts)
     if records is None:
         return Report(entries, cites, suppressed(findings, entries), None)
     ids = resolve.identifiers(entries.select("key", F.transform_values("fields", lambda _, v: v["value"]).alias("fields")))
-    info = stash(entry_info(entries), "info")
-    flags = {c: F.lit(False) for c in ("live_identifier", "venue_known", "translated")}
+    info, dead, shelves = entry_flags(stash(entry_info(entries), "info"), ids, evidence)
+    info = stash(info, "flagged")
     anchored = stash(resolve.anchor(ids, records), "anchored")
     found = resolve.search(info, records, anchored)
     pairs = stash(anchored.unionByName(found, allowMissingColumns=True), "pairs")
@@ -127,13 +185,17 @@ def check(spark: SparkSession, path: str, records: DataFrame | None = None, sour
         sources = records.select("source").distinct().select("source", F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"))
     own = records.withColumn("doi", F.col("identifiers")["doi"]).drop("identifiers", "status", "issue", "pages", "publisher", "url", "year")
     scored = scoring.score_pairs(pairs, info, own, current_year).withColumn("versions_known", F.col("source") != "arxiv")
-    assessments, about = verdict.decide(info.withColumns(flags), scored, resolve.answers(info, pairs, sources), current_year)
+    answered = stash(resolve.answers(info, pairs, sources), "answers")
+    assessments, about = verdict.decide(info, scored, answered, current_year, dead)
     bound = stash(assessments.where("source is not null").select("key", "source", "source_id").join(records, ["source", "source_id"]), "bound")
     told = records.where(F.size("status") > 0).select("source", F.col("identifiers")["doi"].alias("doi"), "status").where("doi is not null")
     about = about.unionByName(verdict.status_findings(bound.select("key", F.col("identifiers")["doi"].alias("doi")), told))
-    about = about.unionByName(_published(bound, records))
+    about = _union([about, _published(bound, records), *late_findings(info, bound, evidence, shelves)])
+    run = resolve.run_findings(answered, evidence.substitutes)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    run = run.select("rule", "severity", nothing("string").alias("key"), nothing("string").alias("field"), nothing("string").alias("file"), nothing("int").alias("line"), F.concat_ws("; ", "source", F.concat(F.col("affected").cast("string"), F.lit(" entries")), "reasons").alias("message"))
     placed = about.join(info.select("key", "file", "line"), "key").select("rule", "severity", "key", "field", "file", "line", F.col("note").alias("message"))
-    return Report(entries, cites, suppressed(findings.unionByName(placed), entries), assessments)
+    return Report(entries, cites, suppressed(_union([findings, placed, run]), entries), assessments)
 
 
 def main(argv: list[str]) -> int:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.sources import bibtex, latex, lists
@@ -87,6 +87,22 @@ def links(found: DataFrame) -> DataFrame:
     return found.select("file", "content").mapInPandas(run, RESOURCES)
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def missing_targets(found: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """Links of a kind (file, target, line) whose target no file of found(file) is; remote targets are not looked for."""
+    have = found.select(file_name(F.col("file")).alias("name")).distinct()
+    wanted = links.where((F.col("kind") == kind) & ~F.lower("target").rlike("^https?://")).withColumn("name", file_name(F.col("target")))
+    return wanted.join(have, "name", "left_anti").select("file", "target", "line")
+
+
+def unreadable(found: DataFrame) -> DataFrame:
+    """TEX004: source files that hold no text: bytes of value 0, which no text encoding here has."""
+    return found.where(F.col("content").isNull() | (F.locate("00", F.hex("content")) > 0) & F.decode("content", "ISO-8859-1").contains("\0")).select("file")
+
+
 def project_files(edges: DataFrame, main: DataFrame) -> DataFrame:
     """Files reached from each main file over include edges (file, target): file, root, depth. A cycle ends where a
     file comes again, so the rounds are no more than the files."""

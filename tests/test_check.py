@@ -52,3 +52,31 @@ def test_passages():
     assert (c["key"], c["name"], c["previous"], c["sentence"]) == ("devlin", "BERT", "First one.", "BERT works well.")
     assert passages.unmojibake("GÃ¶del") == "Gödel" and passages.unmojibake("Gödel") == "Gödel"
     assert passages.jats("<article><abstract><p>one two three four</p></abstract><body><p>x</p><p>five <i>six</i> seven eight</p></body></article>") == ["one two three four", "five six seven eight"]
+
+
+def test_project_with_all_evidence(spark, tmp_path):
+    from biblion.plans.check import Evidence
+
+    (tmp_path / "refs.bib").write_text(BIB + """@article{dead, author = {Lee, Ann}, title = {A Reference Whose Identifier Does Not Exist}, journal = {Journal of Things}, year = {2012}, doi = {10.1234/nowhere}}
+@article{live, author = {Lee, Ann}, title = {A Reference Whose Identifier Is Only Registered}, journal = {Journal of Things}, year = {2012}, doi = {10.9999/live}}
+@article{chinese, author = {Wang, Li}, title = {A study of something [in Chinese]}, journal = {Acta Nihil}, year = {2012}}
+@misc{code, author = {Lee, Ann}, title = {Gadget software}, year = {2012}, howpublished = {https://github.com/lee/gadget}}
+@misc{page, author = {Lee, Ann}, title = {A page about many interesting things}, year = {2012}, url = {https://things.example/gone}}
+@inproceedings{odd, author = {Fox, Al}, title = {Preprints and What Becomes of Them Later}, booktitle = {Symposium on Nothing Known}, year = {2015}, eprint = {1501.00001}, archiveprefix = {arXiv}}
+""")
+    (tmp_path / "main.tex").write_text("\\cite{good,wrong,year,dead,live} \\include{absent} \\bibliography{refs,none}")
+    (tmp_path / "bad.tex").write_bytes(b"\0\1\2 binary")
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    evidence = Evidence(
+        agencies=table([("10.1234/nowhere", "crossref", False), ("10.9999/live", "crossref", True), ("10.1234/year", "crossref", True)], "doi string, agency string, exists boolean"),
+        catalogues=(table([("Journal of Things",)], "name string"),), software=table([("github", "lee/gadget", False)], "kind string, name string, exists boolean"),
+        pages=table([("https://things.example/gone", 404)], "url string, code int"), substitutes=table([("pre", "arxiv", "datacite")], "key string, source string, substitute string"),
+    )
+    sources = table([("crossref", True, None), ("arxiv", False, "SOURCES_UNAVAILABLE")], "source string, available boolean, reason string")
+    report = check(spark, f"file://{tmp_path}", records(spark), sources, evidence=evidence)
+    got = {(r.rule, r.key) for r in report.findings.collect()}
+    want = {("REF002", "dead"), ("REF019", "code"), ("REF020", "odd"), ("REF021", "page"), ("RUN001", None), ("RUN002", None), ("TEX001", None), ("TEX004", None), ("CIT005", None)}
+    assert want <= got and ("REF002", "live") not in got and ("REF020", "good") not in got, want - got
+    whole = table([("crossref", True, None)], "source string, available boolean, reason string")
+    rows = {r.key: (r.verdict, r.reasons) for r in check(spark, f"file://{tmp_path}", records(spark), whole, evidence=evidence).assessments.collect()}
+    assert "IDENTIFIER_EXISTS_NO_METADATA" in rows["live"][1] and "TRANSLATED_CHINESE_WORK" in rows["chinese"][1]
