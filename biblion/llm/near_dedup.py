@@ -264,19 +264,22 @@ def components(links: DataFrame) -> DataFrame:
     the rounds end when none does. A chain of n nodes takes about log n rounds; each is one written table.
     """
     both = stash(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    label = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    label = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("degree")), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        # a hub of many links, and later a label of many nodes, is one hot key of narrow rows
+        seen = join_groups(both, label.select(F.col("node").alias("b"), "label", "degree"), "b", "degree")
+        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = label.join(near, "node").select("node", "label", "degree", F.least("label", "near").alias("low"))
         # the label that the label's own node has, and hooks: a node's label learns the low that the node saw
         hook = step.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
-        step = step.join(hook, "node", "left").select("node", "label", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        jump = step.select(F.col("node").alias("low"), F.col("low").alias("jump"))
-        after = stash(step.join(jump, "low", "left").select("node", F.col("label").alias("before"), F.least("low", F.coalesce("jump", "low")).alias("label")), "labels")
+        step = stash(step.join(hook, "node", "left").select("node", "label", "degree", F.least("low", F.coalesce("hook", "low")).alias("low")), "step")
+        jump = step.groupBy("low").agg(F.count("*").alias("n")).join(step.select(F.col("node").alias("low"), F.col("low").alias("jump")), "low")
+        after = join_groups(step, jump, "low", "n", "left").select("node", F.col("label").alias("before"), "degree", F.least("low", F.coalesce("jump", "low")).alias("label"))
+        after = stash(after, "labels")
         moved = after.where("label < before").limit(1).count()
-        label = after.select("node", "label")
+        label = after.drop("before")
         if not moved:
-            return label
+            return label.select("node", "label")
 
 
 def buckets_of(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -539,3 +539,20 @@ def test_token_files_of_rows_without_or_with_equal_ids(spark):
     got = sorted(token_files.read_tokens(manifest, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None] * 300 + [7] * 300 + list(range(8, 40))
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 160)] + [(900, i) for i in range(901, 950)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7, 7)]
+    up = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {x.node: x.label for x in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in up if x in {v for p in links if p[0] != p[1] for v in p}}
