@@ -16,6 +16,9 @@ from biblion.tables import stash
 
 # Fixed values.
 LEAST_WORDS, YEAR_GAP, TITLE_ONLY, TITLE_ANY_YEAR, VENUE_TITLE, REWORDED, REWORDED_SCORE, OLD = 5, 3, 6, 8, 4, 2, 0.85, 1990
+#: Servers whose copies of an article may have another title, and short names of such.
+COPY_SERVERS = ("eprint archive", "cryptology eprint", "electronic colloquium on computational complexity", "biorxiv", "medrxiv", "chemrxiv", "ssrn", "techrxiv", "research square", "osf preprints", "preprints.org")
+COPY_WORDS = ("eccc", "hal")
 UNRELIABLE_PEOPLE = ("s2", "openlibrary", "github", "pypi", "cran", "huggingface", "openml")
 RELEASED = ("software", "model", "dataset", "workflow")
 REASONS = (
@@ -98,7 +101,12 @@ def bind(scored: DataFrame, current_year: int) -> DataFrame:
 def field_findings(bound: DataFrame) -> DataFrame:
     """REF010 to REF014 of bound pairs, one row each: rule, severity, key, field, note."""
     reliable = ~F.col("source").isin(*UNRELIABLE_PEOPLE)
-    soft = F.col("preprint") | (F.col("t.note") != "")
+    has = lambda c: F.col(c) if c in bound.columns else F.lit(None)
+    # a translated title, a preprint of an article cited by its pages, or an article whose copy on a server is cited
+    low = F.lower(F.coalesce("venue", F.lit("")))
+    copied = F.exists(F.array(*map(F.lit, COPY_SERVERS)), lambda name: F.contains(low, name)) | F.arrays_overlap(F.split(low, "[^a-z]+"), F.array(*map(F.lit, COPY_WORDS)))
+    soft = _yes(has("translated").cast("boolean")) | (F.col("preprint") & has("volume").isNotNull() & has("first_page").isNotNull()) | (~F.col("preprint") & copied)
+    known = F.coalesce(has("versions_known").cast("boolean"), F.lit(True))
     people = F.concat_ws("; ", F.array_join("a.missing", ", "), F.array_join("a.renamed", ", "), F.array_join("a.left_out", ", "))
     others = (F.col("a.status") == "mismatch") | (F.size("a.missing") > 0) | (F.size("a.renamed") > 0) | (F.size("a.left_out") > 0)
     changes = F.array_join(F.transform("t.changed", lambda x: F.concat(x["ours"], F.lit(" / "), x["theirs"])), ", ")
@@ -111,7 +119,7 @@ def field_findings(bound: DataFrame) -> DataFrame:
     rows = F.array(
         row(_yes(F.col("a.disjoint")) & reliable, "REF010", "error", "author", F.lit("no author in common")),
         row(~_yes(F.col("a.disjoint")) & reliable & others, "REF011", F.when(short, "info").otherwise("warning"), "author", people),
-        row((F.col("t.status") == "mismatch") | (F.size("t.changed") > 0), "REF012", F.when(soft, "info").otherwise("warning"), "title", changes),
+        row((F.col("t.status") == "mismatch") | ((F.size("t.changed") > 0) & known), "REF012", F.when(soft, "info").otherwise("warning"), "title", changes),
         row(F.col("year_status") == "mismatch", "REF013", "warning", "year", F.array_join(F.array_sort("r_years").cast("array<string>"), ", ")),
         row(F.col("venue_status") == "mismatch", "REF014", "warning", "venue", F.col("r_venue")),
         row(F.col("r_doi").isNotNull() & F.col("doi").isNull(), "REF016", "info", "doi", F.col("r_doi")),

@@ -660,3 +660,84 @@ def run_findings(spark, sf):
 
     a = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "O", "unavailable").otherwise("negative").alias("outcome"), F.col("o_orderstatus").alias("reason"))
     return resolve.run_findings(a)
+
+
+# --- planted references -----------------------------------------------------------------------------------
+# A reference for each way that a decision can go, with the verdict, reasons and rules that the specification names.
+
+_LEE, _KIM, _MAY = ("Lee", "Ann"), ("Kim", "Bo"), ("May", "Sue")
+_T = {
+    "good": "Measuring the Warmth of Distant Rivers in Spring", "wrong": "Seven Ways of Counting Birds over the Northern Lakes", "lost": "Nothing Whatsoever Was Ever Written under This Name", "year": "On the Slow Growth of Lichen upon Granite Walls",
+    "people": "A Catalogue of Small Islands and Their Lighthouses", "lacking": "How Bakers in Four Towns Weigh Their Bread", "venue": "The Sound of Iron Bridges at Different Temperatures", "nodoi": "Patterns of Frost upon the Windows of Trains",
+    "title": "Estimating the Age of Orchards from Aerial Photographs", "twice": "Collected Remarks about Clocks without Hands",
+}
+#: key, title, people, year, venue, doi, entry type, flag set
+_PLANTED = (
+    ("good", _T["good"], (_LEE, _KIM), 2001, "Journal of Things", "10.1/good", "article", ""), ("wrong", _T["wrong"], (_LEE, _KIM), 2002, "Journal of Things", "10.1/other", "article", ""), ("lost", _T["lost"], (_LEE, _KIM), 2003, "Journal of Things", None, "article", ""),
+    ("year", _T["year"], (_LEE,), 2004, "Journal of Things", "10.1/year", "article", ""), ("people", _T["people"], (_MAY,), 2005, "Journal of Things", "10.1/people", "article", ""), ("lacking", _T["lacking"], (_LEE, _MAY), 2006, "Journal of Things", "10.1/lacking", "article", ""),
+    ("venue", _T["venue"], (_LEE, _KIM), 2007, "Annals of Geology and Mining", "10.1/venue", "article", ""), ("nodoi", _T["nodoi"], (_LEE, _KIM), 2008, "Journal of Things", None, "article", ""),
+    ("title", "Estimating the Age of Vineyards from Aerial Photographs", (_LEE, _KIM), 2009, "Journal of Things", "10.1/title", "article", ""), ("twice", _T["twice"], (_LEE,), 2010, "Journal of Things", None, "article", ""),
+    ("grey", "Annual Accounts of a Company that Nobody Remembers", (_LEE,), 2011, None, None, "techreport", ""), ("old", "Observations Made upon the Tides before Anyone Measured Them", (_LEE,), 1890, "Journal of Things", None, "article", ""),
+    ("cyrillic", "О медленном росте лишайников на гранитных стенах", (_LEE,), 2012, "Journal of Things", None, "article", ""), ("chinese", "Study of the Slow Growth of Bamboo in Winter Gardens", (_LEE,), 2013, "Acta Things", None, "article", "translated"),
+    ("link", "A Manual for Tools that Live on One Page Only", (_LEE,), 2014, "Journal of Things", None, "article", "link_unindexed"), ("shop", "Early Notes on Machines that Fold Their Own Paper", (_LEE,), 2015, "Workshop on Folding", None, "inproceedings", ""),
+    ("anonymous", "Papers that Are Still under Review by Somebody Else", (("Anonymous", ""),), 2016, "Journal of Things", None, "article", ""), ("new", "Results that Were Announced Only a Few Weeks Ago", (_LEE,), 2024, "Journal of Things", None, "article", ""),
+    ("live", "A Work Whose Number Is Registered without Any Details", (_LEE,), 2017, "Journal of Things", "10.1/live", "article", "live_identifier"), ("thin", "Short Notes", (_LEE,), 2018, "Journal of Things", None, "article", ""),
+    ("dead", "A Work Whose Number Was Never Given to Anyone", (_LEE,), 2019, "Journal of Things", "10.1/dead", "article", ""),
+)
+#: source id, title, people, year, venue
+_PLANTED_RECORDS = (
+    ("10.1/good", _T["good"], (_LEE, _KIM), 2001, "Journal of Things"), ("10.1/other", "An Entirely Different Treatise about Harbour Walls", (_MAY,), 1991, "Journal of Things"), ("10.1/year", _T["year"], (_LEE,), 2011, "Journal of Things"),
+    ("10.1/people", _T["people"], (_LEE, _KIM), 2005, "Journal of Things"), ("10.1/lacking", _T["lacking"], (_LEE, _KIM), 2006, "Journal of Things"), ("10.1/venue", _T["venue"], (_LEE, _KIM), 2007, "Bulletin for Marine Botany"),
+    ("10.1/nodoi", _T["nodoi"], (_LEE, _KIM), 2008, "Journal of Things"), ("10.1/title", _T["title"], (_LEE, _KIM), 2009, "Journal of Things"),
+)
+#: run, key, verdict, reasons, rules
+_EXPECTED = (
+    ("good", "verified", "", ""), ("wrong", "identifier_conflict", "", "REF001"), ("lost", "not_found", "", "REF003"), ("year", "metadata_mismatch", "", "REF013"), ("people", "metadata_mismatch", "", "REF010"),
+    ("lacking", "metadata_mismatch", "", "REF011"), ("venue", "metadata_mismatch", "", "REF014"), ("nodoi", "verified", "", "REF016"), ("title", "metadata_mismatch", "", "REF012"), ("twice", "not_found", "", "REF003"),
+    ("grey", "cannot_determine", "GREY_LITERATURE", "REF090"), ("old", "cannot_determine", "OLD_WORK", "REF090"), ("cyrillic", "cannot_determine", "NON_LATIN_UNSUPPORTED", "REF090"), ("chinese", "cannot_determine", "TRANSLATED_CHINESE_WORK", "REF090"),
+    ("link", "cannot_determine", "UNINDEXED_LINK", "REF090"), ("shop", "cannot_determine", "UNINDEXED_VENUE", "REF090"), ("anonymous", "cannot_determine", "ANONYMOUS", "REF090"), ("new", "cannot_determine", "TOO_NEW", "REF090"),
+    ("live", "cannot_determine", "IDENTIFIER_EXISTS_NO_METADATA", "REF090"), ("thin", "cannot_determine", "INSUFFICIENT_METADATA", "REF090"), ("dead", "not_found", "", "REF002,REF003"),
+)
+#: With a registry down, what nothing was found for stays open, for that reason too.
+_DOWN = tuple((k, "cannot_determine" if v == "not_found" else v, ",".join(x for x in ("SOURCES_UNAVAILABLE" if v in ("not_found", "cannot_determine") else "", r if r != "INSUFFICIENT_METADATA" else "") if x), f.replace("REF003", "REF090")) for k, v, r, f in _EXPECTED)
+
+
+def _planted(spark):
+    none, no_list = F.lit(None).cast("string"), F.array().cast("array<string>")
+    person = lambda people: [(f, g, None) for f, g in people]
+    people = "array<struct<family:string,given:string,literal:string>>"
+    e = spark.createDataFrame([(k, t, person(p), y, v, doi, kind, flag) for k, t, p, y, v, doi, kind, flag in _PLANTED], f"key string, title string, authors {people}, year int, venue string, doi string, entry_type string, flag string")
+    flags = [(F.col("flag") == f).alias(f) for f in ("live_identifier", "link_unindexed", "translated")]
+    yes, no = F.lit(True), F.lit(False)
+    entries = e.select("key", "title", "authors", no.alias("truncated"), "year", "venue", F.col("venue").isNotNull().alias("venue_named"), (F.col("entry_type") == "article").alias("journal"), none.alias("volume"), none.alias("first_page"), no_list.alias("issns"), "doi", "entry_type", no.alias("venue_known"), *flags)
+    r = spark.createDataFrame([(i, t, person(p), [y], v) for i, t, p, y, v in _PLANTED_RECORDS], f"source_id string, title string, authors {people}, years array<int>, venue string")
+    records = r.select(
+        F.lit("crossref").alias("source"), "source_id", "title", no_list.alias("alt_titles"), "authors", yes.alias("authors_complete"), yes.alias("authors_ordered"), "years", "venue", F.lit("journal-article").alias("work_type"), none.alias("volume"),
+        F.col("source_id").alias("doi"), no.alias("reissue"), no_list.alias("issns"), yes.alias("versions_known"), F.create_map(F.lit("doi"), F.col("source_id")).alias("identifiers"),
+    )
+    return entries, records
+
+
+def _decided(spark, entries, records, up: bool):
+    from biblion.operators import resolve, scoring, verdict
+
+    ids = entries.where("doi is not null").select("key", F.lit(0).alias("ord"), F.lit("doi").alias("scheme"), F.col("doi").alias("value"))
+    anchored = resolve.anchor(ids, records)
+    pairs = stash(anchored.unionByName(resolve.search(entries, records, anchored), allowMissingColumns=True), "pairs")
+    sources = spark.createDataFrame([("crossref", True, None), ("openalex", up, None if up else "SOURCES_UNAVAILABLE")], "source string, available boolean, reason string")
+    scored = scoring.score_pairs(pairs, entries, records.drop("identifiers"), 2024).withColumn("versions_known", F.col("r_versions_known"))
+    dead = spark.createDataFrame([("dead", "10.1/dead")], "key string, value string")
+    out, findings = verdict.decide(entries, scored, resolve.answers(entries, pairs, sources), 2024, dead)
+    rules = findings.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("rule")), ",").alias("rules"))
+    return out.join(rules, "key", "left").select(F.lit("up" if up else "down").alias("run"), "key", "verdict", F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), ",").alias("reasons"), F.coalesce("rules", F.lit("")).alias("rules"))
+
+
+def _rows(run, rows):
+    return ", ".join("('" + "', '".join((run, *r)) + "')" for r in rows)
+
+
+@query(f"select * from (values {_rows('up', _EXPECTED)}, {_rows('down', _DOWN)}) as v(run, key, verdict, reasons, rules)")
+def planted_verdicts(spark, sf):
+    """The whole decision on planted references, with all registries up and with one down."""
+    entries, records = (stash(t, "planted") for t in _planted(spark))
+    return _decided(spark, entries, records, True).unionByName(_decided(spark, entries, records, False))
