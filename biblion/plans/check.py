@@ -47,17 +47,21 @@ def _authors(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"people": [[p._asdict() for p in people] for people, _ in rows], "truncated": [more for _, more in rows]})
 
 
+def people_of(names_: Column) -> Column:
+    """BibTeX names -> struct(people, truncated)."""
+    return F.pandas_udf(_authors, f"struct<people:array<{names.PERSON}>,truncated:boolean>")(names_)
+
+
 def entry_info(entries: DataFrame) -> DataFrame:
     """entries of the readers -> what the scorer compares. The first definition of a key counts."""
     first = hygiene.first_of(entries, ["key"], [F.col("file"), F.col("line")])
     text = lambda n: F.nullif(F.col("fields")[n]["text"], F.lit(""))
     value = lambda n: F.nullif(F.col("fields")[n]["value"], F.lit(""))
     year = F.coalesce(*[F.nullif(F.regexp_extract(text(n), r"(?<!\d)((?:1[5-9]|20)\d\d)(?!\d)", 1), F.lit("")) for n in ("year", "date", "note")]).cast("int")
-    people = F.pandas_udf(_authors, f"struct<people:array<{names.PERSON}>,truncated:boolean>")
     venue = F.coalesce(*[text(n) for n in VENUE_FIELDS])
     hosts = F.transform(idents.links(F.concat_ws(" ", *[value(n) for n in ("url", "howpublished", "note")])), idents.host)
     known = lambda h: h.rlike(r"(^|\.)(" + "|".join(x.replace(".", r"\.") for x in resolve.INDEXED_HOSTS) + ")$")
-    e = first.withColumn("who", people(F.coalesce(value("author"), value("editor"), F.lit(""))))
+    e = first.withColumn("who", people_of(F.coalesce(value("author"), value("editor"), F.lit(""))))
     return e.select(
         "key", "file", "line", F.coalesce(text("title"), text("chapter")).alias("title"), F.col("who.people").alias("authors"), F.col("who.truncated").alias("truncated"), year.alias("year"), venue.alias("venue"),
         F.coalesce(*[text(n) for n in VENUE_FIELDS[:3]]).isNotNull().alias("venue_named"), (text("journal").isNotNull() | text("journaltitle").isNotNull()).alias("journal"), text("volume").alias("volume"), idents.first_page(text("pages")).alias("first_page"),

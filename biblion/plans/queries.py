@@ -741,3 +741,73 @@ def planted_verdicts(spark, sf):
     """The whole decision on planted references, with all registries up and with one down."""
     entries, records = (stash(t, "planted") for t in _planted(spark))
     return _decided(spark, entries, records, True).unionByName(_decided(spark, entries, records, False))
+
+
+# --- lists written in a format and read back; titles and people with an expected outcome --------------------
+
+_PLAIN_TITLE = "'On ' || trim(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g'))"
+_LIST_ROWS = f"select key, {_PLAIN_TITLE} as title, cast(year as varchar) as year from {BIB}"
+
+
+def _listed(spark, sf):
+    plain = F.trim(F.regexp_replace(F.regexp_replace("title", r"[^\p{L}\p{N} ]", ""), " +", " "))
+    return d.bib(spark, sf).select("key", F.concat(F.lit("On "), plain).alias("title"), F.col("year").cast("string").alias("year"))
+
+
+def _read_back(spark, sf, body, suffix):
+    from biblion.sources import scan
+
+    got = scan.entries(_as_files(_listed(spark, sf), F.concat(*body), suffix))
+    return got.select(F.regexp_replace("file", r"\.\w+$", "").alias("key"), F.col("fields")["title"]["value"].alias("title"), F.col("fields")["year"]["value"].alias("year"))
+
+
+@query(_LIST_ROWS)
+def bbl_scan(spark, sf):
+    body = (F.lit("\\begin{thebibliography}{9}\n\\bibitem[{A [1]}]{"), F.col("key"), F.lit("}\nA. Author and B. Other.\n\\newblock "), F.col("title"), F.lit(".\n\\newblock Journal of Things, 1(2):3--4, "), F.col("year"), F.lit(".\n\\end{thebibliography}\n"))
+    return _read_back(spark, sf, body, ".bbl")
+
+
+@query(_LIST_ROWS)
+def hayagriva_scan(spark, sf):
+    body = (F.col("key"), F.lit(':\n  type: article\n  title: "'), F.col("title"), F.lit('"\n  author: "Author, Ann"\n  date: '), F.col("year"), F.lit("\n  parent:\n    type: periodical\n    title: Journal of Things\n"))
+    return _read_back(spark, sf, body, ".yaml")
+
+
+@query(_LIST_ROWS)
+def plaintext_scan(spark, sf):
+    body = (F.lit("References\nAuthor, A. B., & Other, C. ("), F.col("year"), F.lit("). "), F.col("title"), F.lit(". Journal of Things, 1(2), 3-4.\n"))
+    return _read_back(spark, sf, body, ".txt")
+
+
+#: title of an entry, title of a record, type of the record, expected status
+_TITLES = (
+    ("Learning of useful things", "Learning of Useful Things", "journal-article", "match"), ("Learning of useful things", "Forgetting of useless matters", "journal-article", "mismatch"), ("Learning of useful things: a survey", "Learning of useful things", "journal-article", "variant"),
+    ("Learning of useful things (FastThing2)", "Learning of useful things", "journal-article", "variant"), ("Learning of useful things, in Handbook of Many Methods", "Learning of useful things", "journal-article", "variant"), ("A study of parsing (Zur Theorie der Sprache)", "A study of parsing", "journal-article", "match"),
+    ("Collected works on algebra, vol. 3: groups", "Collected works on algebra", "book", "variant"), ("Learning of useful things", "Learning of useful things (2nd edition)", "book", "match"), ("Learning of useful things", "Learning of useful things. Plates.", "journal-article", "match"), ("Networks that learn", "Networks that learn (NTL)", "journal-article", "match"),
+    ("Report on the state of forests 2019", "Report on the state of forests 2020", "report", "mismatch"), ("gadget: a tool for gadgets", "lee/gadget: v1.2", "software", "match"), ("学习有用的东西", "Learning of useful things", "journal-article", "unknown"), ("Über das Lernen nützlicher Dinge", "Uber das Lernen nutzlicher Dinge", "journal-article", "match"),
+)
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{b}', '{s}')" for a, b, _, s in _TITLES) + ") as v(ours, theirs, status)")
+def planted_titles(spark, sf):
+    from biblion.operators import scoring
+
+    rows = spark.createDataFrame([(a, b, k) for a, b, k, _ in _TITLES], "ours string, theirs string, kind string")
+    return rows.select("ours", "theirs", scoring.title_check(F.col("ours"), F.col("theirs"), F.array().cast("array<string>"), F.col("kind"))["status"].alias("status"))
+
+
+#: authors of an entry, authors of a record, expected status, and whether they have nobody in common
+_PEOPLE = (
+    ("Lee, Ann and Kim, Bo", "Lee, Ann and Kim, Bo", "match", False), ("Lee, A. and Kim, B.", "Lee, Ann and Kim, Bo", "match", False), ("Ann Lee and Bo Kim", "Lee, Ann and Kim, Bo", "match", False), ("Lee, Ann and others", "Lee, Ann and Kim, Bo", "match", False),
+    ("Roe, Sue and Poe, Max", "Lee, Ann and Kim, Bo", "mismatch", True), ("Müller, Jürgen", "Mueller, Juergen", "match", False), ("García Márquez, Gabriel", "Márquez, Gabriel García", "match", False), ("Smith, Bill", "Smith, William", "match", False),
+)
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{b}', '{s}', {str(x).lower()})" for a, b, s, x in _PEOPLE) + ") as v(ours, theirs, status, apart)")
+def planted_people(spark, sf):
+    from biblion.operators import scoring
+    from biblion.plans.check import people_of
+
+    rows = spark.createDataFrame([(a, b) for a, b, *_ in _PEOPLE], "ours string, theirs string").withColumns({"a": people_of(F.col("ours")), "b": people_of(F.col("theirs"))})
+    check = scoring.author_check(F.col("a.people"), F.col("a.truncated"), F.col("b.people"), F.lit(True), F.lit(True))
+    return rows.select("ours", "theirs", check.alias("c")).select("ours", "theirs", F.col("c.status").alias("status"), F.coalesce("c.disjoint", F.lit(False)).alias("apart"))

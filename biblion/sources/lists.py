@@ -492,12 +492,13 @@ QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»"}
 YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 
 
-def sentence(text: str) -> tuple[str, str] | None:
-    """A first sentence of five characters or more, and what follows it; initials do not end one."""
-    for i in range(5, len(text) - 1):
-        if text[i] in ".?!" and text[i + 1] == " " and not (text[i] == "." and text[i - 1].isupper() and not text[i - 2 : i - 1].isalpha()):
-            return text[:i], text[i + 1 :].strip()
-    return None
+def sentence(text: str, loose: bool = False) -> tuple[str, str] | None:
+    """A first sentence of five characters or more, and what follows it; initials do not end one, or only where loose
+    and nothing else does."""
+    ends = [i for i in range(5, len(text) - 1) if text[i] in ".?!" and text[i + 1] == " "]
+    whole = [i for i in ends if not (text[i] == "." and text[i - 1].isupper() and not text[i - 2 : i - 1].isalpha())]
+    at = next(iter(whole or (ends if loose else [])), None)
+    return None if at is None else (text[:at], text[at + 1 :].strip())
 
 
 def _quoted(text: str) -> dict | None:
@@ -516,7 +517,7 @@ def _apa(text: str) -> dict | None:
     """Names (year). Title. Rest."""
     for m in YEAR.finditer(text):
         if text[m.start() - 1] == "(" and (close := text.find(")", m.end())) > 0:
-            got = sentence(text[close + 1 :].lstrip(" .,:"))
+            got = sentence(text[close + 1 :].lstrip(" .,:"), True)
             return {"names": text[: m.start() - 1].rstrip(), "year": m[0], "title": got[0], "rest": got[1]} if got else None
     return None
 
@@ -574,7 +575,7 @@ def _year_after(text: str) -> dict | None:
     """Names. Year. Title. Rest."""
     for m in YEAR.finditer(text):
         if text[: m.start()].endswith(". ") and (after := re.match(r"[a-z]?\. ", text[m.end() :])):
-            got = sentence(text[m.end() + after.end() :])
+            got = sentence(text[m.end() + after.end() :], True)
             return {"names": text[: m.start()].rstrip(" ."), "year": m[0], "title": got[0], "rest": got[1]} if got else None
     return None
 
