@@ -556,3 +556,33 @@ def test_components_of_chains_and_stars(spark):
         up[max(x, y)] = min(x, y)
     got = {x.node: x.label for x in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if x in {v for p in links if p[0] != p[1] for v in p}}
+
+
+def test_pipeline_equals_brute_force(spark, small, texts):
+    """Each stage by plain Python on what the stage before kept; the classifier's weights are those that Spark fitted."""
+    import public_tokenizers as p
+    import tiktoken
+
+    import corpus_pipeline
+
+    docs, labels, benchmark = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.train(docs, labels)
+    kept = {i: t or "" for i, t in texts}
+    tail = quality._grades(model, list(kept.values()))[1]
+    kept = {i: t for (i, t), good in zip(kept.items(), tail >= model.least) if good}
+    best = {}
+    for i, t in kept.items():
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[norm] = min(best.get(norm, (1, 0)), (-len(t), i))
+    kept = {i: kept[i] for _, i in best.values()}
+    near = classes({i: sets_of(t) for i, t in kept.items()})
+    kept = {i: t for i, t in kept.items() if near[i] == i or not sets_of(t)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    windows = {tuple(w[j : j + 10]) for r in benchmark.collect() for w in [words(r.text)] if w for j in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    dirty = lambda w: any(tuple(w[j : j + n]) in windows for n in sizes for j in range(len(w) - n + 1))
+    kept = {i: t for i, t in kept.items() if not dirty(words(t))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, small).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in kept.items()} and 0 < len(got) < len(texts)
