@@ -171,3 +171,38 @@ def escape_bibtex(c: Column) -> Column:
 def protect_capitals(c: Column) -> Column:
     """Braces around words with a capital beyond their first letter, or a digit next to one."""
     return F.regexp_replace(c, r"(?<![{\p{L}\p{N}])((?:\p{Ll}|\p{N})*\p{Lu}?[\p{Ll}\p{N}]*\p{Lu}[\p{L}\p{N}]*|\p{Lu}\p{N}+)(?![}\p{L}\p{N}])", r"{$1}")
+
+
+def unescape_identifier(c: Column) -> Column:
+    """An identifier or link without the backslashes and braces that LaTeX wants."""
+    return F.trim(F.translate(c, "\\{}", ""))
+
+
+def bibtex_value(c: Column, identifier: bool = False) -> Column:
+    """Plain text as a BibTeX value: no backslashes, braces as brackets, and special characters escaped, but not in
+    identifiers, which are read as they are."""
+    plain = F.translate(F.replace(c, F.lit("\\"), F.lit(" ")), "{}", "()")
+    return plain if identifier else F.regexp_replace(plain, "([&%#_$])", r"\\$1")
+
+
+def strip_language_mark(title: Column) -> Column:
+    """A title without "(in Chinese)" or "[in Chinese]" at its end."""
+    return F.trim(F.regexp_replace(title, r"(?i)[\[(]\s*in chinese\s*[\])]\s*$", ""))
+
+
+def name_in_title(name: Column, title: Column) -> Column:
+    """Whether a title has the name that a citation stands after: a name with digits or several capitals as a word of it
+    (or its plural), any other only as the title's own name ("Adam: ...", "... (Adam)")."""
+    words = F.regexp_extract_all(title, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}-]*)"), 1)
+    special = (F.regexp_count(name, F.lit(r"\p{Lu}")) >= 2) | name.rlike(r"\p{N}")
+    as_word = F.array_contains(words, name) | F.array_contains(words, F.concat(name, F.lit("s")))
+    rest = F.ltrim(F.substr(title, F.length(name) + 1))
+    leads = title.startswith(name) & rest.rlike("^[:–—-] ")
+    own = leads | F.contains(title, F.concat(F.lit("("), name, F.lit(")")))
+    return F.when((F.coalesce(name, F.lit("")) == "") | (F.coalesce(title, F.lit("")) == ""), False).otherwise(F.when(special, as_word).otherwise(own))
+
+
+def fill(template: Column, values: Column) -> Column:
+    """A template with each {name} of the map values put in; names that the map lacks stay as they are."""
+    put = lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit("")))
+    return F.aggregate(F.map_entries(values), template, put)

@@ -118,3 +118,10 @@ def rule_table(spark: SparkSession) -> DataFrame:
     from biblion.plans.rules import RULES
 
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(t).alias("summary")) for r, n, s, t in RULES])))
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """severity, n for every severity, 0 where nothing was found."""
+    from biblion.operators.evaluate import with_all
+
+    return with_all(findings.groupBy("severity").agg(F.count("*").alias("n")), ["error", "warning", "info"], "severity")

@@ -110,3 +110,39 @@ def run_findings(outcomes: DataFrame, substitutes: DataFrame | None = None) -> D
         return out
     stood = substitutes.groupBy("source").agg(F.count_distinct("key").alias("affected"), F.array_join(F.sort_array(F.collect_set("substitute")), ", ").alias("reasons"))
     return out.unionByName(stood.select(F.lit("RUN002").alias("rule"), F.lit("info").alias("severity"), "source", "affected", "reasons"))
+
+
+def bare_misc(entry_type: Column, venue: Column, links: Column) -> Column:
+    """A misc entry without venue or link: often an article cited without its venue."""
+    return (F.lower(entry_type) == "misc") & (F.coalesce(venue, F.lit("")) == "") & (F.size(links) == 0)
+
+
+def untitled_article(title: Column, journal: Column, volume: Column, first_page: Column, year: Column, authors: Column) -> Column:
+    """An article that is cited by its place alone: fewer than three words of title, but journal, volume, page, year and people."""
+    words = F.size(F.filter(F.split(F.coalesce(title, F.lit("")), r"\s+"), lambda w: w != ""))
+    return (words < 3) & F.coalesce(journal, F.lit(False)) & volume.isNotNull() & first_page.isNotNull() & year.isNotNull() & (F.size(authors) > 0)
+
+
+# Sources whose records never anchor a reference.
+DENYLIST = ({"doi_prefix": "10.65215", "crossref_member": "54718"},)
+
+
+def denylist(path: str) -> tuple[dict, ...]:
+    """The sources of a denylist file (TOML, tables named source)."""
+    import tomllib
+
+    with open(path, "rb") as f:
+        return tuple(tomllib.load(f).get("source", ()))
+
+
+def suspicious(records: DataFrame, denied: tuple[dict, ...] = DENYLIST) -> DataFrame:
+    """records(source_id, doi, member) that a denied source deposited, by the DOI's prefix or the member's number."""
+    prefixes, members = ([x[k] for x in denied if x.get(k)] for k in ("doi_prefix", "crossref_member"))
+    return records.where(F.coalesce(F.substring_index("doi", "/", 1).isin(prefixes), F.lit(False)) | F.coalesce(F.col("member").cast("string").isin(members), F.lit(False)))
+
+
+def closest(candidates: DataFrame, k: int = 5) -> DataFrame:
+    """candidates(key, source_id, score): the k closest of each key."""
+    from biblion.operators.joins import top_k
+
+    return top_k(candidates, ["key"], [F.col("score").desc(), F.col("source_id")], k).drop("n")

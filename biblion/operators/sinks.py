@@ -59,3 +59,15 @@ def bibtex_entry(records: DataFrame) -> DataFrame:
     ))
     key = citation_key(F.get("authors", F.lit(0))["family"], F.col("year"), F.col("title"))
     return records.select("source", "source_id", key.alias("key"), F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(fields, ",\n"), F.lit("\n}\n")).alias("bibtex"))
+
+
+def verdict_line(assessments: DataFrame, unasked: int = 0) -> DataFrame:
+    """One row, line: how many references have each verdict, in the order of the verdicts, those that occur."""
+    from biblion.plans.rules import VERDICTS
+
+    place = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))
+    counted = assessments.groupBy("verdict").agg(F.count("*").alias("n"))
+    said = F.struct(place.alias("place"), F.concat(F.col("n").cast("string"), F.lit(" "), F.replace("verdict", F.lit("_"), F.lit(" "))).alias("said"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["said"]), " · ")
+    tail = f" ({unasked} without a cached answer, not verified)" if unasked else ""
+    return counted.agg(F.when(F.count("*") == 0, "References: none to verify").otherwise(F.concat(F.lit("References: "), all_, F.lit(tail))).alias("line"))

@@ -231,3 +231,10 @@ def has_blocking(findings: DataFrame, fail_on: str) -> DataFrame:
 def translated(title: Column, venue: Column, other: Column, journals: tuple[str, ...], language: Column) -> Column:
     """A Chinese work cited by a translated title: its journal, a language mark, or Chinese in another field."""
     return _yes(venue.rlike(r"(?i)^\W*(?:" + "|".join(journals) + r")\W*$")) | _yes(F.lower(title).rlike(r"\[?in chinese\]?")) | _yes(has_han(other)) | _yes(F.lower(language).rlike(r"^(zh|chi)"))
+
+
+def other_works(scored: DataFrame) -> DataFrame:
+    """Pairs of a search whose record cannot be the cited work: nobody in common and another title. Records of sources
+    whose people are not reliable are never counted among them, nor pairs of entries without named people."""
+    named = F.exists("authors", lambda p: F.coalesce(p["literal"], F.lit("")) == "")
+    return scored.where(named & ~F.col("source").isin(*UNRELIABLE_PEOPLE) & _yes(F.col("a.disjoint")) & (F.col("t.status") != "match"))

@@ -811,3 +811,63 @@ def planted_people(spark, sf):
     rows = spark.createDataFrame([(a, b) for a, b, *_ in _PEOPLE], "ours string, theirs string").withColumns({"a": people_of(F.col("ours")), "b": people_of(F.col("theirs"))})
     check = scoring.author_check(F.col("a.people"), F.col("a.truncated"), F.col("b.people"), F.lit(True), F.lit(True))
     return rows.select("ours", "theirs", check.alias("c")).select("ours", "theirs", F.col("c.status").alias("status"), F.coalesce("c.disjoint", F.lit(False)).alias("apart"))
+
+
+# --- small operators --------------------------------------------------------------------------------------
+
+
+@query(f"select v.severity, count(f.severity) as n from (values ('error'), ('warning'), ('info')) v(severity) left join {FINDINGS} f using (severity) group by v.severity")
+def severity_counts(spark, sf):
+    return hygiene.severity_counts(d.findings(spark, sf))
+
+
+@query(f"""with n as (select case when ord % 7 = 0 then 'not_found' when ord % 3 = 0 then 'metadata_mismatch' else 'verified' end as verdict from {BIB})
+select 'References: ' || count_if(verdict = 'verified') || ' verified · ' || count_if(verdict = 'metadata_mismatch') || ' metadata mismatch · ' || count_if(verdict = 'not_found') || ' not found' as line from n""")
+def verdict_line(spark, sf):
+    from biblion.operators import sinks
+
+    return sinks.verdict_line(d.bib(spark, sf).select(F.when(F.col("ord") % 7 == 0, "not_found").when(F.col("ord") % 3 == 0, "metadata_mismatch").otherwise("verified").alias("verdict")))
+
+
+@query("select doc_id, regexp_replace(replace(replace(replace(text, '\\', ' '), '{', '('), '}', ')'), '([&%#_$])', '\\\\\\1', 'g') as value from documents")
+def bibtex_values(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.bibtex_value(F.col("text")).alias("value"))
+
+
+@query("select page_id, url from pages")
+def unescaped_links(spark, sf):
+    """Links written as LaTeX has them, and read back."""
+    written = F.concat(F.lit("{"), F.regexp_replace("url", "([&%#_])", r"\\\\$1"), F.lit("}"))
+    return table(spark, sf, "pages").select("page_id", text.unescape_identifier(written).alias("url"))
+
+
+@query("select p_partkey, 'part ' || cast(p_partkey as varchar) || ' of ' || p_brand || ': {other}' as message from part")
+def filled_templates(spark, sf):
+    values = F.create_map(F.lit("key"), F.col("p_partkey").cast("string"), F.lit("brand"), F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", text.fill(F.lit("part {key} of {brand}: {other}"), values).alias("message"))
+
+
+@query("""select p_partkey, list_contains(string_split(p_name, ' '), 'X' || cast(p_partkey % 10 as varchar)) or p_partkey % 2 = 0 as named from part""")
+def names_in_titles(spark, sf):
+    """A made-up name with a digit, put into every second title."""
+    name = F.concat(F.lit("X"), (F.col("p_partkey") % 10).cast("string"))
+    title = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" ("), name, F.lit("s)"))).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", text.name_in_title(name, title).alias("named"))
+
+
+@query(f"select key from {BIB} where split_part(doi, '/', 1) in ('10.1003', '10.1007') or ord % 50 = 9")
+def suspicious_records(spark, sf):
+    from biblion.operators import resolve
+
+    denied = ({"doi_prefix": "10.1003"}, {"doi_prefix": "10.1007", "crossref_member": "9"})
+    return resolve.suspicious(d.bib(spark, sf).withColumn("member", F.col("ord") % 50), denied).select("key")
+
+
+@query(f"select key, ord % 2 = 0 and ord % 3 = 0 and ord % 5 <> 0 as bare from {BIB}")
+def bare_misc_entries(spark, sf):
+    from biblion.operators import resolve
+
+    b = d.bib(spark, sf)
+    kind, venue = F.when(F.col("ord") % 2 == 0, "misc").otherwise("article"), F.when(F.col("ord") % 3 != 0, F.col("venue"))
+    links = F.when(F.col("ord") % 5 == 0, F.array(F.lit("https://x.example"))).otherwise(F.array().cast("array<string>"))
+    return b.select("key", resolve.bare_misc(kind, venue, links).alias("bare"))

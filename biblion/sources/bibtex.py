@@ -157,3 +157,23 @@ def parse(text: str, file: str = "") -> tuple[list[dict], list[dict]]:
         seen[key] = line
         entries.append({"key": key, "entry_type": kind, "fields": fields, "file": file, "line": line, "raw": text[m.start() : at], "suppressions": _suppressions(lines, line)})
     return entries, issues
+
+
+def decode_entities(text: str) -> str:
+    """HTML entities as the characters that they stand for, escaped where LaTeX takes those for its own."""
+    import html
+
+    out, at = [], 0
+    while (begin := text.find("&", at)) >= 0:
+        end = text.find(";", begin, begin + 34)
+        name = text[begin + 1 : end] if end > 0 else ""
+        number = name[:1] == "#" and (name[1:].isdigit() or (name[1:2] == "x" and name[2:] != "" and all(c in "0123456789abcdefABCDEF" for c in name[2:])))
+        char = html.unescape(text[begin : end + 1]) if number or (name.isascii() and name.isalpha()) else ""
+        out.append(text[at:begin])
+        if char and char != text[begin : end + 1]:
+            out.append("\\" + char if char in "&%$#_" else char)
+            at = end + 1
+        else:
+            out.append("&")
+            at = begin + 1
+    return "".join(out) + text[at:]

@@ -164,3 +164,29 @@ def test_title_additions(ours, theirs, status):
     from biblion.operators.scoring import check_title
 
     assert check_title(ours, theirs)["status"] == status
+
+
+def test_small_text_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(text.unescape_identifier(F.lit(r"{10.1162/tacl\_a\_00276} "))) == "10.1162/tacl_a_00276"
+    assert one(text.bibtex_value(F.lit(r"A & B \x {C} 50%"))) == r"A \& B  x (C) 50\%" and one(text.bibtex_value(F.lit("10.1/a_b"), True)) == "10.1/a_b"
+    assert one(text.strip_language_mark(F.lit("On Systems (in Chinese)"))) == "On Systems" and one(text.strip_language_mark(F.lit("Living in Chinese Towns"))) == "Living in Chinese Towns"
+    for name, title, there in (("BERT", "BERT: Pre-training", True), ("GELU", "Units (GELUs)", True), ("Adam", "Adam: A Method", True), ("Adam", "The Story of Adam and Eve", False), ("Adam", "A Method (Adam)", True), ("GPT-4", "GPT-4 Report", True), ("", "x", False)):
+        assert one(text.name_in_title(F.lit(name), F.lit(title))) is there, name
+    assert one(text.fill(F.lit("{a} and {b} and {c}"), F.create_map(F.lit("a"), F.lit("1"), F.lit("c"), F.lit("{b}")))).startswith("1 and ")
+
+
+def test_entities_and_denylist(spark, tmp_path):
+    from biblion.operators import resolve
+    from biblion.sources.bibtex import decode_entities
+
+    assert decode_entities("A &amp; B &#233;&#xe9; &lt;i&gt; AT&T; &nonsense; &") == r"A \& B éé <i> AT&T; &nonsense; &"
+    (tmp_path / "d.toml").write_text('[[source]]\ndoi_prefix = "10.9"\n')
+    df = spark.createDataFrame([("a", "10.9/x", None), ("b", "10.99/x", 54718), ("c", None, None)], "source_id string, doi string, member long")
+    assert [r.source_id for r in resolve.suspicious(df, resolve.denylist(str(tmp_path / "d.toml"))).collect()] == ["a"]
+    assert [r.source_id for r in resolve.suspicious(df).collect()] == ["b"]
+    near = spark.createDataFrame([("k", f"r{i}", i / 10) for i in range(8)], "key string, source_id string, score double")
+    assert {r.source_id for r in resolve.closest(near).collect()} == {"r3", "r4", "r5", "r6", "r7"}
+    rows = spark.createDataFrame([("x", "12", "3", 2000, ["a"], True), ("A whole title", "12", "3", 2000, ["a"], True), (None, None, "3", 2000, ["a"], True)], "title string, volume string, page string, year int, people array<string>, journal boolean")
+    c = F.col
+    assert [r.u for r in rows.select(resolve.untitled_article(c("title"), c("journal"), c("volume"), c("page"), c("year"), c("people")).alias("u")).collect()] == [True, False, False]
