@@ -58,9 +58,13 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
     The first signature of an entry that an earlier entry of another key has reports it, once.
     """
     sig = entries.select("key", "ord", F.posexplode("signatures").alias("pos", "signature"))
-    first = Window.partitionBy("signature").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = sig.withColumn("first_key", F.first("key").over(first)).where("first_key is not null and first_key <> key")
-    return first_of(seen, ["key", "ord"], [F.col("pos")]).select("key", "ord", "signature", "first_key")
+    # the first entry of each signature that several have: one row a signature, summed up before the shuffle
+    place = F.struct("ord", "pos")
+    firsts = sig.groupBy("signature").agg(F.min(F.struct(place.alias("place"), "key")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    seen = sig.join(firsts, "signature").where((place > F.col("f.place")) & (F.col("f.key") != F.col("key")))
+    # an entry's signatures are few
+    best = seen.groupBy("key", "ord").agg(F.min(F.struct("pos", "signature", F.col("f.key").alias("first_key"))).alias("b"))
+    return best.select("key", "ord", "b.signature", "b.first_key")
 
 
 def missing_fields(entries: DataFrame) -> DataFrame:
