@@ -301,6 +301,8 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     clean = rows.where("digest is null").select(id_col, _plain(F.col("pieces")[0]).alias("text"), F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
     dirty = rows.where("digest is not null")
     found = dirty.select("digest", F.posexplode("pieces").alias("pos", "entity")).where("pos % 2 = 1").distinct()
+    # taking an entity apart is long work for a short row, so a number of tasks is named here too
+    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "pos")
     found = found.withColumn("kind", F.coalesce(kind_of(F.col("entity")), F.lit("hex")))
     found = found.where((F.col("kind") != "card") | (_luhn_sum(_digits(F.col("entity"))) % 10 == 0))
     found = found.select("digest", "pos", F.col("kind").alias("entity_kind"), F.posexplode(parts_of(F.col("entity"), F.col("kind"))).alias("part", "p"))
