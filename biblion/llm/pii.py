@@ -265,7 +265,7 @@ def part_map(parts: DataFrame, key: str = KEY) -> DataFrame:
     real = todo.select("kind", F.col("canon").alias("own"))
     while True:
         # a number of tasks is named, else few narrow rows would be put together in one, and a surrogate is long work
-        tried = surrogates(todo.repartition(tasks, "kind", "canon"), key)
+        tried = stash(surrogates(todo.repartition(tasks, "kind", "canon"), key), "surrogates")
         taken = real.where("kind <> 'mailbox'").union(real.where("kind = 'mailbox'").select("kind", F.substring_index("own", "@", 1)))
         if done is not None:
             taken = taken.union(done.select("kind", "own"))
