@@ -132,3 +132,9 @@ def test_bibitems_with_brackets_in_their_labels():
 def test_appendix_ends_the_references():
     line, text = lists.reference_section("Text\nReferences\n[1] One. 2000.\nAppend it later. 2001.\nA. Supplementary material\nmore")
     assert line == 3 and text == "[1] One. 2000.\nAppend it later. 2001."
+
+
+def test_titles_of_few_letters_in_plain_text():
+    for title in ("On a", "On É", "On 7", "On O", "On to", "On a bc", "On "):
+        (e,) = lists.plaintext(f"Author, A. B., & Other, C. (1999). {title}. Journal of Things, 1(2), 3-4.\n")
+        assert (e["fields"]["title"]["value"], e["fields"]["year"]["value"], e["fields"]["journal"]["value"]) == (title, "1999", "Journal of Things")
