@@ -141,3 +141,14 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {(r.key, r.payload) for r in spark.table("latest").collect()} == {("k", "new"), ("m", "x")}
     assert ttl.unexpired(df).count() == 0 and ttl.answers_per_day(df).count() == 3
+
+
+def test_one_work_by_title(spark):
+    """A title of very many entries and records never meets as every two of them; years may lack, keys may come again."""
+    e = [(f"e{i}", "hot", 1980 + i % 45) for i in range(20_000)] + [("none", "hot", None), ("both", "hot", 1990), ("both", "cold", 1990), ("cold", "cold", 2000), ("two", "split", 2000)]
+    r = [("hot", 1980 + i % 40, "w", f"r{i:05}") for i in range(20_000)] + [("cold", 2003, "c", "c1"), ("cold", None, "c", "c0"), ("split", 2000, "a", "s1"), ("split", 2000, "b", "s2")]
+    entries, records = spark.createDataFrame(e, "key string, title string, year int"), spark.createDataFrame(r, "title string, year int, work string, source_id string")
+    got = joins.one_work_by_title(entries, records)
+    rows = {x.key: (x.source_id, x.gap) for x in got.collect()}
+    assert len(rows) == 20_002 and rows["e44"] == ("r00039", 5) and rows["e3"] == ("r00003", 0)
+    assert rows["none"] == ("r00000", None) and rows["cold"] == ("c1", 3) and "both" not in rows and "two" not in rows
