@@ -152,3 +152,47 @@ def test_one_work_by_title(spark):
     rows = {x.key: (x.source_id, x.gap) for x in got.collect()}
     assert len(rows) == 20_002 and rows["e44"] == ("r00039", 5) and rows["e3"] == ("r00003", 0)
     assert rows["none"] == ("r00000", None) and rows["cold"] == ("c1", 3) and "both" not in rows and "two" not in rows
+
+
+def test_close_texts_are_all_there(spark, monkeypatch):
+    """The bound by letter pairs against every two texts, in one block and in several, with texts of any letters and
+    lengths beyond a machine word."""
+    from biblion.functions.similarity import edit_distance
+
+    rng = random.Random(11)
+    texts = {"".join(rng.choice("ab é𝔸n") for _ in range(rng.choice([1, 2, 3, 5, 8, 20]))) for _ in range(60)}
+    for n in (12, 63, 64, 65, 130):
+        base = "".join(rng.choice("abcde fgh") for _ in range(n))
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rng.randint(0, n // 3)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], ["x"], [t[at], "y"]])
+            texts.add("".join(t) or "z")
+    rows = [(rng.randint(0, 1), t) for t in sorted(texts)]
+    classes = spark.createDataFrame([(b, t, i) for i, (b, t) in enumerate(rows)], "block int, t string, class long")
+    for least in (0.85, 0.6):
+        got = joins.blocked_pairs(classes, ["block"], "t", least).collect()
+        close = lambda a, b: min(len(a), len(b)) >= least / (2 - least) * max(len(a), len(b)) and edit_distance(a, b) <= int((1 - least) * (len(a) + len(b)))  # noqa: B023, E731
+        want = {(i, j, a, b) for i, (x, a) in enumerate(rows) for j, (y, b) in enumerate(rows) if i < j and x == y and close(a, b)}
+        assert len(want) > 100 and len(got) == len(want) and {(r.a, r.b, r.text_a, r.text_b) for r in got} == want
+
+
+def test_equal_texts_are_one_class(spark):
+    """Pairs of classes do not grow with the copies of a text."""
+    rows = [(i, 1, "large ring") for i in range(5000)] + [(9000 + i, 1, "large rings") for i in range(5000)] + [(20_000, 2, "large ring"), (20_001, None, "large ring")]
+    classes = joins.text_classes(spark.createDataFrame(rows, "id long, block int, t string"), "id", ["block"], "t")
+    assert {(r.block, r.t, r["class"]) for r in classes.collect()} == {(1, "large ring", 0), (1, "large rings", 9000), (2, "large ring", 20_000)}
+    assert [(r.a, r.b) for r in joins.blocked_pairs(classes, ["block"], "t", 0.85).collect()] == [(0, 9000)]
+
+
+def test_search_by_title_of_many(spark):
+    """Entries and records of one title: the first records of each source, once for each entry; near titles too."""
+    entry = [(f"e{i}", "A study of useful things and others") for i in range(3000)] + [("near", "A study of useful thing and others"), ("far", "Nothing of the kind")]
+    record = [("s", f"r{i:05}", "A study of useful things and others") for i in range(3000)] + [("t", "q1", "A study of useful things and others: more")]
+    got = resolve.search(spark.createDataFrame(entry, "key string, title string"), spark.createDataFrame(record, "source string, source_id string, title string"), spark.createDataFrame([], "key string"), 3)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.key, set()).add((r.source, r.source_id, r.role))
+    first = {("s", f"r0000{i}", "candidate") for i in range(3)} | {("t", "q1", "candidate")}
+    assert len(rows) == 3001 and all(v == first for v in rows.values())
