@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biblion.functions import idents
 from biblion.functions.text import title_key
-from biblion.operators import joins
+from biblion.operators import grams, joins
 from biblion.tables import stash
 
 # Hosts whose papers the sources index, entry types, and cut-offs.
@@ -78,18 +78,23 @@ def anchor(ids: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def search(entries: DataFrame, records: DataFrame, anchored: DataFrame, rows: int = SEARCH_ROWS) -> DataFrame:
-    """Candidates by title for entries that no identifier anchors: equal or prefixed keys, and two shared words."""
-    todo = entries.join(anchored.select("key"), "key", "left_anti").where("title is not null and title <> ''").select("key", "title").withColumn("title_key", title_key(F.col("title")))
-    recs = records.select("source", "source_id", "title", F.concat_ws("|", "source", "source_id").alias("rid")).withColumn("title_key", title_key(F.col("title")))
+    """Candidates by title for entries that no identifier anchors: equal or prefixed keys, and two shared words.
+
+    Title keys meet, not entries and records: each once, however many have it. Of the records of a key and source only
+    the first can be among the rows kept, since they are equally far from any entry."""
+    todo = entries.join(anchored.select("key"), "key", "left_anti").where("title is not null and title <> ''").select("key", title_key(F.col("title")).alias("title_key")).where("title_key <> ''")
+    recs = records.select("source", "source_id", title_key(F.col("title")).alias("rk")).where("rk <> ''")
     todo, recs = stash(todo, "todo"), stash(recs, "titles")
-    by_prefix = joins.prefix_join(todo.select("key", "title_key"), recs.select("rid", "title_key")).select("key", "rid")
-    by_words = joins.shared_word_pairs(todo.select("key", "title_key"), recs.select(F.col("rid").alias("source_id"), "title_key"), joins.CLOSE).select("key", F.col("source_id").alias("rid"))
-    pairs = by_prefix.union(by_words).distinct().join(todo.select("key", "title_key"), "key").join(recs.select("rid", "source", "source_id", F.col("title_key").alias("rk")), "rid")
-    longer = F.col("rk").startswith(F.concat("title_key", F.lit(" ")))
-    close = joins.length_bound(F.col("title_key"), F.col("rk"), joins.CLOSE) & joins.edit_bound(F.col("title_key"), F.col("rk"), joins.CLOSE)
-    kept = pairs.where(close | longer).withColumn("role", F.when(close, "candidate").otherwise("extending"))
-    best = joins.top_k(kept, ["key", "source", "role"], [F.levenshtein("title_key", "rk"), F.col("source_id")], rows)
-    return best.select("key", "source", "source_id", "role")
+    ours, theirs = stash(todo.select(F.col("title_key").alias("a")).distinct(), "todo"), stash(recs.select(F.col("rk").alias("b")).distinct(), "titles")
+    by_prefix = joins.prefix_join(ours.select(F.col("a").alias("title_key")), theirs.select(F.col("b").alias("title_key"))).select(F.col("title_key").alias("a"), F.col("record_key").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    close = joins.length_bound(a, b, joins.CLOSE) & joins.edit_bound(a, b, joins.CLOSE)
+    by_prefix = by_prefix.where(close | b.startswith(F.concat(a, F.lit(" "))))
+    by_words = grams.close_texts(ours, theirs, [], joins.CLOSE, 2).where(joins.shared_words(a, b) > 1).where(close)
+    pairs = by_prefix.union(by_words.select("a", "b")).distinct().select("a", F.col("b").alias("rk"), F.when(close, "candidate").otherwise("extending").alias("role"), F.levenshtein(a, b).alias("far"))
+    first = joins.top_k(recs, ["rk", "source"], [F.col("source_id")], rows).drop("n")
+    best = joins.top_k(pairs.join(first, "rk"), ["a", "source", "role"], [F.col("far"), F.col("source_id")], rows)
+    return todo.join(best.select(F.col("a").alias("title_key"), "source", "source_id", "role"), "title_key").select("key", "source", "source_id", "role")
 
 
 def answers(entries: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
