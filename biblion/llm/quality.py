@@ -3,12 +3,14 @@
 Ratings are graded 0 (low quality), 1 (good but toxic), 2 (good and clean). One weight vector over hashed text
 features is shared by all grades, and ordered thresholds cut its score: P(grade <= j) = sigmoid(cut_j - score).
 A document gets its expected grade and the tail probability P(grade = 2), which selection compares with the
-value that KEEP_CLEAN of the clean documents reach in a fifth of the labelled sample that the fit has not seen.
+value that KEEP_CLEAN of the clean documents reach in a fifth of the labelled ones that the fit has not seen.
 
 Features of whole texts: words, their first 4 and 5 bytes, runs of marks, and repeats of the word before; counts
-enter as log(1 + n), divided by the square root of their norm. Training takes at most MAX_LABELLED labelled
-documents (the smallest hashes of doc_id; the rest of the labels is not needed for a good fit), at most 2**BITS
-features each; everything else covers all rows. Weights (4 * 2**BITS bytes) are broadcast.
+enter as log(1 + n), divided by the square root of their norm. Training takes every labelled document, whole:
+their features are written once, and each step of the fit (L-BFGS, on the driver) is one pass over them that sends
+back a gradient a task. Up to DRIVER_BYTES of features the passes are made on the driver. A document's share of a
+gradient is rounded to 2**-30, so sums are exact and the model is the same for any number and order of tasks.
+Weights (4 * 2**BITS bytes) are broadcast.
 
 Edge cases. Labels without quality or doc_id are left out, null toxic counts as 0; several labels of a document
 count as the worst of them. Null or empty text has no features: its score is 0. Without labels every weight is
@@ -18,8 +20,8 @@ than the ones named pass through `select_clean` as they are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm import textvec as tv
-from biblion.llm.shared import table
+from biblion.llm.shared import small, stash, table
 
-BITS, MAX_LABELLED, GRADES, STEPS, DECAY, FOLDS, KEEP_CLEAN = 18, 8_000, 3, 300, 1e-4, 5, 0.985
+#: STEPS: passes over the labelled documents at most.
+BITS, GRADES, STEPS, DECAY, FOLDS, KEEP_CLEAN = 18, 3, 100, 1e-4, 5, 0.985
 #: Features that the fit works on at a time.
 CHUNK = 1 << 19
+#: Bytes of features up to which the fit runs on the driver, tasks of a pass beyond, labelled ids that are broadcast.
+DRIVER_BYTES, TASKS, MAX_IDS = 96 << 20, 32, 1_000_000
+#: Shares of a gradient are multiples of 1 / UNIT.
+UNIT = float(1 << 30)
+PART = "folds binary, grades binary, sizes binary, features binary, counts binary"
 MARK = tv.SOLID & ~tv.ALNUM
 MARK_SALT, REPEAT = np.uint64(0x6D61726B), np.uint64(0x726570656174 << 16)
 
@@ -43,8 +51,8 @@ class Model(NamedTuple):
     least: float  # tail probability from which a document is kept
 
 
-def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, value) of all texts, in ascending order of text."""
+def _counts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, number) of all texts, in ascending order of text."""
     buf, starts = tv.join(texts)
     fp, s, e = tv.words(buf, tv.ALNUM)
     marks, at, _ = tv.words(buf, MARK)
@@ -56,26 +64,43 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             head = head << np.uint64(8) | buf[long + j]
         keys.append(tv.mix(head))
         places.append(long)
-    again = np.flatnonzero(fp[1:] == fp[:-1]) + 1
+    owner = np.searchsorted(starts, s, "right")
+    again = np.flatnonzero((fp[1:] == fp[:-1]) & (owner[1:] == owner[:-1])) + 1  # of the same text
     keys.append(np.full(len(again), REPEAT))
     places.append(s[again])
     doc = np.searchsorted(starts, np.concatenate(places), "right") - 1
     key, n = np.unique(doc.astype(np.int64) << BITS | (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
-    doc, value = key >> BITS, np.log1p(n)
-    norm = np.bincount(doc, weights=value**2, minlength=len(texts)) ** 0.25
-    return doc, key & ((1 << BITS) - 1), value / norm[doc]
+    return key >> BITS, key & ((1 << BITS) - 1), n
+
+
+def _values(doc: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+    value = np.log1p(n)
+    return value / (np.bincount(doc, weights=value**2, minlength=texts) ** 0.25)[doc]
+
+
+def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) of all texts, in ascending order of text."""
+    doc, feature, n = _counts(texts)
+    return doc, feature, _values(doc, np.minimum(n, 65_535), len(texts))
 
 
-def _sample(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled documents, those of many in a row."""
     for batch in frames:
         rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
         for ids, texts in tv.batches([rows]):
-            doc, feature, value = features(texts)
-            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            feature, value = feature.astype(np.int32), value.astype(np.float32)
+            doc, feature, n = _counts(texts)
             own = batch.slice(ids[0], len(ids))
-            blobs = ([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (feature, value))
-            yield pa.RecordBatch.from_arrays([own.column("grade"), own.column("fold"), *(pa.array(b, pa.binary()) for b in blobs)], names=["grade", "fold", "features", "values"])
+            columns = (own.column("fold").to_numpy().astype(np.int8), own.column("grade").to_numpy().astype(np.int8), np.bincount(doc, minlength=len(texts)).astype(np.int32), feature.astype(np.int32), np.minimum(n, 65_535).astype(np.uint16))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=[c.split()[0] for c in PART.split(", ")])
+
+
+def _read(batch) -> Iterator[tuple[np.ndarray, ...]]:
+    """fold, grade, doc, feature, value of each row that _parts has made."""
+    for row in zip(*(batch.column(k) for k in range(5)), strict=True):
+        fold, grade, sizes, feature, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int8, np.int8, np.int32, np.int32, np.uint16), strict=True))
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        yield fold, grade.astype(np.int64), doc, feature, _values(doc, n.astype(np.int64), len(sizes)).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,8 +115,8 @@ def _scores(w, doc, feature, value, n) -> np.ndarray:
     return out
 
 
-def slopes(w, cuts, doc, feature, value, grade) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the mean log likelihood by the weights and by the cuts."""
+def sums(w, cuts, doc, feature, value, grade) -> np.ndarray:
+    """Log likelihood, its gradient by the cuts and by the weights, summed in whole units of 1 / UNIT."""
     n = len(grade)
     s = _scores(w, doc, feature, value, n)
     below = np.concatenate([np.zeros((n, 1)), _sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
@@ -99,71 +124,159 @@ def slopes(w, cuts, doc, feature, value, grade) -> tuple[np.ndarray, np.ndarray]
     row = np.arange(n)
     p = np.maximum(below[row, grade + 1] - below[row, grade], 1e-9)
     upper, lower = slope[row, grade + 1] / p, slope[row, grade] / p
-    by_cut = np.array([upper[grade == j].sum() - lower[grade == j + 1].sum() for j in range(GRADES - 1)]) / n
+    whole = lambda x: np.round(x * UNIT)
+    by_cut = [whole(upper[grade == j]).sum() - whole(lower[grade == j + 1]).sum() for j in range(GRADES - 1)]
     by_weight = np.zeros(len(w))
     for a in range(0, len(doc), CHUNK):
         b = a + CHUNK
-        by_weight += np.bincount(feature[a:b], weights=(lower - upper)[doc[a:b]] * value[a:b], minlength=len(w))
-    return by_weight / n, by_cut
+        by_weight += np.bincount(feature[a:b], weights=whole((lower - upper)[doc[a:b]] * value[a:b]), minlength=len(w))
+    return np.concatenate([[whole(np.log(p)).sum()], by_cut, by_weight])
 
 
-def _fit(doc, feature, value, grade, steps=STEPS, decay=DECAY) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts of the greatest penalised likelihood, by Adam on all rows at once; the same every time."""
+def slopes(w, cuts, doc, feature, value, grade) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean log likelihood by the weights and by the cuts."""
+    mean = sums(w, cuts, doc, feature, value, grade) / UNIT / len(grade)
+    return mean[GRADES:], mean[1:GRADES]
+
+
+def _short(w: np.ndarray) -> np.ndarray:
+    """w to 16 bits of its fraction, so that it goes with the code of a pass (Spark writes more than 1 MB to disk)."""
+    return (w.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
+def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts of the greatest penalised likelihood by L-BFGS; total(w, cuts) gives the sums of n documents."""
     # cuts are the first one and the logs of the gaps, so their order can't break
-    w, gaps = np.zeros(1 << BITS), np.array([-1.0] + [0.0] * (GRADES - 2))
-    moments = [np.zeros_like(x) for x in (w, w, gaps, gaps)]
-    for t in range(1, steps + 1):
-        by_weight, by_cut = slopes(w, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])), doc, feature, value, grade)
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        pull = np.concatenate([tail[:1], tail[1:] * np.exp(gaps[1:])])
-        steps_ = ((w, by_weight - decay * w), (gaps, pull))
-        for k, (x, g) in enumerate(steps_):
-            m, v = moments[2 * k : 2 * k + 2]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return w, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
+    k = GRADES - 1
+    cuts_of = lambda x: np.cumsum(np.concatenate([x[:1], np.exp(x[1:k])]))
+
+    def look(x):
+        got = total(x[k:], cuts_of(x)) / UNIT / n
+        tail = np.cumsum(got[1 : 1 + k][::-1])[::-1]
+        pull = np.concatenate([tail[:1], tail[1:] * np.exp(x[1:k])])
+        return got[0] - decay * (x[k:] @ x[k:]) / 2, np.concatenate([pull, got[1 + k :] - decay * x[k:]])
+
+    x = np.concatenate([[-1.0], np.zeros(k - 1), np.zeros(1 << BITS)])
+    (now, g), used, past, best = look(x), 1, [], []
+    while used < steps and np.abs(g).max() > 1e-7:
+        step, held = g.copy(), []
+        for s, y in reversed(past):
+            held.append((s @ step) / (s @ y))
+            step -= held[-1] * y
+        if past:
+            s, y = past[-1]
+            step *= (s @ y) / (y @ y)
+        else:
+            step /= max(np.sqrt(step @ step), 1e-12)
+        for (s, y), h in zip(past, reversed(held), strict=True):
+            step += s * (h - (y @ step) / (s @ y))
+        rise, size = g @ step, 1.0
+        while used < steps:
+            place = x + size * step
+            place[k:] = _short(place[k:])
+            there, slope = look(place)
+            used += 1
+            if there >= now + 1e-4 * size * rise:
+                break
+            size /= 2
+        else:
+            break
+        moved, turned = place - x, g - slope
+        if moved @ turned > 1e-12 * (moved @ moved):
+            past = [*past[-9:], (moved, turned)]
+        x, now, g = place, there, slope
+        best.append(now)
+        if len(best) > 5 and best[-1] - best[-6] < 1e-6:
+            break
+    return x[k:], cuts_of(x)
 
 
-def _tail(w, cuts, doc, feature, value, n):
-    return 1 - _sigmoid(cuts[-1] - _scores(w, doc, feature, value, n))
+def _fit(doc, feature, value, grade, steps=STEPS, decay=DECAY) -> tuple[np.ndarray, np.ndarray]:
+    return _climb(lambda w, cuts: sums(w, cuts, doc, feature, value, grade), len(grade), steps, decay)
 
 
-def _cut_off(tail: np.ndarray, clean: np.ndarray) -> float:
-    """The tail probability that all but 1 - KEEP_CLEAN of the clean documents reach."""
-    return float(np.quantile(tail[clean], 1 - KEEP_CLEAN))
+def _tail(w, cuts, doc, feature, value, n):
+    return 1 - _sigmoid(cuts[-1] - _scores(w, doc, feature, value, n))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """grade, fold and text of the labelled documents of the sample."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """grade, fold and text of the labelled documents; most: of a sample of them, by the hash of doc_id."""
     grade = F.when(F.min("quality") < 1, 0).when(F.max(F.coalesce("toxic", F.lit(0))) > 0, 1).otherwise(2)
     graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(grade.cast("int").alias("grade"))
     hashed = F.xxhash64("doc_id", F.lit(4))
-    sample = graded.orderBy(hashed, "doc_id").limit(most).select("doc_id", "grade", F.pmod(hashed, F.lit(FOLDS)).cast("int").alias("fold"))
-    # most * 24 bytes at most
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "fold", "text")
+    if most is not None:
+        graded = graded.orderBy(hashed, "doc_id").limit(most)
+    graded = graded.select("doc_id", "grade", F.pmod(hashed, F.lit(FOLDS)).cast("int").alias("fold"))
+    return docs.select("doc_id", "text").join(small(graded, MAX_IDS), "doc_id").select("grade", "fold", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
-    got = labelled(docs, labels, most).mapInArrow(_sample, "grade int, fold int, features binary, values binary").toArrow()
-    if not got.num_rows:
+def _pass(of_row, parts: DataFrame, schema: str) -> DataFrame:
+    """of_row over the rows of _parts; one row of its sum a task."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in frames:
+            for row in _read(batch):
+                got = of_row(*row)
+                out = got if out is None else out + got
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    return parts.mapInArrow(run, schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
+    """The model of all labelled documents among docs, or of most of them where that is given."""
+    spark = docs.sparkSession
+    parts = stash(labelled(docs, labels, most).mapInArrow(_parts, PART), "labelled")
+    sizes = parts.agg(F.sum(F.length("features") + F.length("counts"))).first()[0]
+    if sizes is None:
         return Model(np.zeros(1 << BITS, np.float32), np.array([-1.0, 0.0]), 0.0)
-    blobs = [[np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in (("features", np.int32), ("values", np.float32))]
-    # rows come in any order from the tasks; sums are made in one order, the documents that the fit sees first
-    grade, fold = (got.column(c).to_numpy() for c in ("grade", "fold"))
-    order = sorted(range(got.num_rows), key=lambda i: (fold[i] == 0, blake2b(blobs[0][i], digest_size=16).digest(), blake2b(blobs[1][i], digest_size=16).digest()))
-    doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(blobs[0][i]) for i in order])
-    feature, value = (np.concatenate([b[i] for i in order]) if len(doc) else np.zeros(0, int) for b in blobs)
-    grade, fold = grade[order], fold[order]
-    del got, blobs  # the driver holds one copy of the sample
+    here = list(_read(parts.toArrow())) if sizes <= DRIVER_BYTES else None
+    parts = parts.coalesce(min(TASKS, spark.sparkContext.defaultParallelism))
+
+    def over(of_row):
+        """The sum of of_row over all rows."""
+        if here is not None:
+            return sum(of_row(*row) for row in here)
+        return sum(np.frombuffer(r["sums"]) for r in _pass(of_row, parts, "sums binary").collect())  # at most TASKS gradients
+
     # the cut-off comes from a fold that the weights have not seen
-    n = int((fold != 0).sum())
-    clean = (fold == 0) & (grade == GRADES - 1)
-    if not n or not clean.any():
-        n = len(grade)
-    seen = int(np.searchsorted(doc, n))
-    w, cuts = _fit(doc[:seen], feature[:seen], value[:seen], grade[:n])
-    least = _cut_off(_tail(w, cuts, doc, feature, value, len(grade)), clean) if clean.any() else 0.5
+    everywhere, fitted, clean = over(lambda fold, grade, doc, feature, value: np.array([len(fold), (fold != 0).sum(), ((fold == 0) & (grade == GRADES - 1)).sum()], float))
+    seen = fitted if fitted and clean else everywhere
+    held = seen < everywhere
+
+    def total(w, cuts):
+        code = np.ascontiguousarray(_short(w).view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes() if here is None else b""
+        if code:
+            code = zlib.compress(code, 1)
+        cache = []
+
+        def one(fold, grade, doc, feature, value):
+            if code and not cache:
+                full = np.zeros((1 << BITS, 4), np.uint8)
+                full[:, 1:] = np.frombuffer(zlib.decompress(code), np.uint8).reshape(3, -1).T
+                cache.append(full.reshape(-1).view(np.float32).astype(float))
+            use = fold != 0 if held else np.ones(len(fold), bool)
+            at = use[doc]
+            return sums(cache[0] if code else own, cuts, (np.cumsum(use) - 1)[doc[at]], feature[at], value[at], grade[use])
+
+        own = w if here is not None else None
+        return over(one)
+
+    w, cuts = _climb(total, int(seen), STEPS, DECAY)
+    least = 0.5
+    if clean:
+        # the tail probability that all but 1 - KEEP_CLEAN of the clean documents reach
+        sent = spark.sparkContext.broadcast((w, cuts))
+
+        def tails(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in frames:
+                for fold, grade, doc, feature, value in _read(batch):
+                    tail = _tail(*sent.value, doc, feature, value, len(fold))
+                    yield pa.RecordBatch.from_arrays([pa.array(tail[(fold == 0) & (grade == GRADES - 1)])], names=["tail"])
+
+        least = parts.mapInArrow(tails, "tail double").agg(F.percentile("tail", F.lit(1 - KEEP_CLEAN))).first()[0]
     return Model(w.astype(np.float32), cuts, least)
 
 

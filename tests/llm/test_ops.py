@@ -398,6 +398,24 @@ def test_quality_fit_reaches_the_greatest_likelihood():
     assert value_of(got_w[:8], got_cuts) == pytest.approx(value_of(w, cuts), abs=1e-3) and (np.diff(got_cuts) > 0).all()
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """More labelled documents than a sample once had; the same model by passes of Spark and in any number of tasks."""
+    r = random.Random(9)
+    text = lambda i: " ".join(r.choice(("good fine well", "bad poor junk", "rude nasty vile")[i % 3].split() + ["the", "of", "and"]) for _ in range(8))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(9000)], "doc_id long, text string").repartition(5)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 1).cast("int").alias("quality"), (F.col("doc_id") % 3 == 2).cast("int").alias("toxic"))
+    assert quality.labelled(docs, labels).count() == 9000
+    models = [quality.train(docs, labels)]
+    monkeypatch.setattr(quality, "DRIVER_BYTES", 0)
+    models.append(quality.train(docs.repartition(3), labels))
+    monkeypatch.setattr(quality, "MAX_IDS", 10)
+    models.append(quality.train(docs, labels))
+    for m in models[1:]:
+        assert (m.weights == models[0].weights).all() and (m.cuts == models[0].cuts).all() and m.least == models[0].least
+    kept = {x.doc_id % 3: x.n for x in quality.grade(docs, models[0]).where("kept").groupBy((F.col("doc_id") % 3).alias("doc_id")).agg(F.count("*").alias("n")).collect()}
+    assert kept[0] > 2900 and kept.get(1, 0) + kept.get(2, 0) < 300
+
+
 def test_near_classes_of_weighted_texts(spark):
     """Weights are counts: repeated passages tell texts apart that have the same set."""
     r = random.Random(8)
