@@ -37,7 +37,10 @@ BITS, GRADES, STEPS, DECAY, FOLDS, KEEP_CLEAN = 18, 3, 100, 1e-4, 5, 0.985
 #: Features that the fit works on at a time.
 CHUNK = 1 << 19
 #: Bytes of features up to which the fit runs on the driver, tasks of a pass beyond, labelled ids that are broadcast.
-DRIVER_BYTES, TASKS, MAX_IDS = 96 << 20, 32, 1_000_000
+DRIVER_BYTES, TASKS, MAX_IDS = 8 << 20, 32, 1_000_000
+#: The fit ends when five steps together raise the mean log likelihood by less.
+ENOUGH = 1e-4
+_LOG = np.log1p(np.arange(1 << 16))
 #: Shares of a gradient are multiples of 1 / UNIT.
 UNIT = float(1 << 30)
 PART = "folds binary, grades binary, sizes binary, features binary, counts binary"
@@ -74,7 +77,7 @@ def _counts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _values(doc: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
-    value = np.log1p(n)
+    value = _LOG[n]
     return value / (np.bincount(doc, weights=value**2, minlength=texts) ** 0.25)[doc]
 
 
@@ -91,8 +94,12 @@ def _parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in tv.batches([rows]):
             doc, feature, n = _counts(texts)
             own = batch.slice(ids[0], len(ids))
-            columns = (own.column("fold").to_numpy().astype(np.int8), own.column("grade").to_numpy().astype(np.int8), np.bincount(doc, minlength=len(texts)).astype(np.int32), feature.astype(np.int32), np.minimum(n, 65_535).astype(np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=[c.split()[0] for c in PART.split(", ")])
+            fold, grade = (own.column(c).to_numpy() for c in ("fold", "grade"))
+            for some in (fold == 0, fold != 0):  # a row is either fitted or held out
+                at = some[doc]
+                columns = (fold[some].astype(np.int8), grade[some].astype(np.int8), np.bincount(doc, minlength=len(texts))[some].astype(np.int32), feature[at].astype(np.int32), np.minimum(n[at], 65_535).astype(np.uint16))
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=[c.split()[0] for c in PART.split(", ")])
 
 
 def _read(batch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -100,7 +107,7 @@ def _read(batch) -> Iterator[tuple[np.ndarray, ...]]:
     for row in zip(*(batch.column(k) for k in range(5)), strict=True):
         fold, grade, sizes, feature, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int8, np.int8, np.int32, np.int32, np.uint16), strict=True))
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        yield fold, grade.astype(np.int64), doc, feature, _values(doc, n.astype(np.int64), len(sizes)).astype(np.float32)
+        yield fold, grade.astype(np.int64), doc, feature, _values(doc, n, len(sizes)).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,7 +193,7 @@ def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndar
             past = [*past[-9:], (moved, turned)]
         x, now, g = place, there, slope
         best.append(now)
-        if len(best) > 5 and best[-1] - best[-6] < 1e-6:
+        if len(best) > 5 and best[-1] - best[-6] < ENOUGH:
             break
     return x[k:], cuts_of(x)
 
@@ -235,11 +242,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
     here = list(_read(parts.toArrow())) if sizes <= DRIVER_BYTES else None
     parts = parts.coalesce(min(TASKS, spark.sparkContext.defaultParallelism))
 
-    def over(of_row):
-        """The sum of of_row over all rows."""
+    def over(of_row, fitted=False):
+        """The sum of of_row over all rows, or over those that are fitted."""
         if here is not None:
-            return sum(of_row(*row) for row in here)
-        return sum(np.frombuffer(r["sums"]) for r in _pass(of_row, parts, "sums binary").collect())  # at most TASKS gradients
+            return sum(of_row(*row) for row in here if not fitted or row[0][0])
+        return sum(np.frombuffer(r["sums"]) for r in _pass(of_row, parts.where(F.substring("folds", 1, 1) != F.lit(b"\0")) if fitted else parts, "sums binary").collect())  # at most TASKS gradients
 
     # the cut-off comes from a fold that the weights have not seen
     everywhere, fitted, clean = over(lambda fold, grade, doc, feature, value: np.array([len(fold), (fold != 0).sum(), ((fold == 0) & (grade == GRADES - 1)).sum()], float))
@@ -257,12 +264,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
                 full = np.zeros((1 << BITS, 4), np.uint8)
                 full[:, 1:] = np.frombuffer(zlib.decompress(code), np.uint8).reshape(3, -1).T
                 cache.append(full.reshape(-1).view(np.float32).astype(float))
-            use = fold != 0 if held else np.ones(len(fold), bool)
-            at = use[doc]
-            return sums(cache[0] if code else own, cuts, (np.cumsum(use) - 1)[doc[at]], feature[at], value[at], grade[use])
+            return sums(cache[0] if code else own, cuts, doc, feature, value, grade)
 
         own = w if here is not None else None
-        return over(one)
+        return over(one, held)
 
     w, cuts = _climb(total, int(seen), STEPS, DECAY)
     least = 0.5
