@@ -20,7 +20,6 @@ than the ones named pass through `select_clean` as they are.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,8 +33,10 @@ from biblion.llm.shared import small, stash, table
 
 #: STEPS: passes over the labelled documents at most.
 BITS, GRADES, STEPS, DECAY, FOLDS, KEEP_CLEAN = 18, 3, 100, 1e-4, 5, 0.985
-#: Features that the fit works on at a time.
+#: Entries (a feature of a document) that the fit works on at a time, and of a row of features.
 CHUNK = 1 << 19
+#: Steps that the fit looks back on.
+HISTORY = 30
 #: Bytes of features up to which the fit runs on the driver, tasks of a pass beyond, labelled ids that are broadcast.
 DRIVER_BYTES, TASKS, MAX_IDS = 8 << 20, 32, 1_000_000
 #: The fit ends when five steps together raise the mean log likelihood by less.
@@ -43,7 +44,7 @@ ENOUGH = 1e-4
 _LOG = np.log1p(np.arange(1 << 16))
 #: Shares of a gradient are multiples of 1 / UNIT.
 UNIT = float(1 << 30)
-PART = "folds binary, grades binary, sizes binary, features binary, counts binary"
+PART = "folds binary, grades binary, scales binary, features binary, sizes binary, docs binary, counts binary"
 MARK = tv.SOLID & ~tv.ALNUM
 MARK_SALT, REPEAT = np.uint64(0x6D61726B), np.uint64(0x726570656174 << 16)
 
@@ -87,45 +88,84 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, feature, _values(doc, np.minimum(n, 65_535), len(texts))
 
 
+class Part(NamedTuple):
+    """Features of some documents by feature: each one's entries are the documents that have it."""
+
+    fold: np.ndarray
+    grade: np.ndarray
+    scale: np.ndarray  # of each document; an entry's value is value * scale
+    feature: np.ndarray  # ascending
+    size: np.ndarray  # entries of each feature
+    doc: np.ndarray
+    value: np.ndarray
+
+
+def _by_feature(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by feature, the distinct features and the number of each."""
+    order = np.argsort(feature, kind="stable")
+    return order, *np.unique(feature[order], return_counts=True)
+
+
 def _parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of labelled documents, those of many in a row."""
+    """Features of labelled documents, those of many in a row; a row is either fitted or held out."""
+    waiting = {True: [], False: []}
+
+    def row(held: bool) -> pa.RecordBatch:
+        folds, grades, sizes, features_, counts = (np.concatenate(x) for x in zip(*waiting[held], strict=True))
+        waiting[held].clear()
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int32), sizes)
+        scale = 1 / np.maximum(np.bincount(doc, weights=_LOG[counts] ** 2, minlength=len(sizes)) ** 0.25, 0.5)  # less only without features
+        order, distinct, size = _by_feature(doc, features_)
+        columns = (folds, grades, scale, distinct, size.astype(np.int32), doc[order], counts[order])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=[c.split()[0] for c in PART.split(", ")])
+
     for batch in frames:
         rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
         for ids, texts in tv.batches([rows]):
             doc, feature, n = _counts(texts)
             own = batch.slice(ids[0], len(ids))
-            fold, grade = (own.column(c).to_numpy() for c in ("fold", "grade"))
-            for some in (fold == 0, fold != 0):  # a row is either fitted or held out
-                at = some[doc]
-                columns = (fold[some].astype(np.int8), grade[some].astype(np.int8), np.bincount(doc, minlength=len(texts))[some].astype(np.int32), feature[at].astype(np.int32), np.minimum(n[at], 65_535).astype(np.uint16))
+            fold, grade = (own.column(c).to_numpy().astype(np.int8) for c in ("fold", "grade"))
+            sizes = np.bincount(doc, minlength=len(texts)).astype(np.int32)
+            for held in (True, False):
+                some = (fold == 0) == held
                 if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=[c.split()[0] for c in PART.split(", ")])
+                    at = some[doc]
+                    waiting[held].append((fold[some], grade[some], sizes[some], feature[at].astype(np.int32), np.minimum(n[at], 65_535).astype(np.uint16)))
+                    if sum(len(x[3]) for x in waiting[held]) >= CHUNK:
+                        yield row(held)
+    for held in (True, False):
+        if waiting[held]:
+            yield row(held)
 
 
-def _read(batch) -> Iterator[tuple[np.ndarray, ...]]:
-    """fold, grade, doc, feature, value of each row that _parts has made."""
-    for row in zip(*(batch.column(k) for k in range(5)), strict=True):
-        fold, grade, sizes, feature, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int8, np.int8, np.int32, np.int32, np.uint16), strict=True))
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        yield fold, grade.astype(np.int64), doc, feature, _values(doc, n, len(sizes)).astype(np.float32)
+def _read(batch) -> Iterator[Part]:
+    """Each row that _parts has made."""
+    for row in zip(*(batch.column(k) for k in range(7)), strict=True):
+        docs = len(row[0].as_buffer())
+        kinds = (np.int8, np.int8, float, np.int32, np.int32, np.uint16 if docs <= 1 << 16 else np.int32, np.uint16)
+        fold, grade, scale, feature, size, doc, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds, strict=True))
+        yield Part(fold, grade.astype(np.int64), scale, feature, size, doc, _LOG[n])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _scores(w, doc, feature, value, n) -> np.ndarray:
-    out = np.zeros(n)
-    for a in range(0, len(doc), CHUNK):
+def _scores(w, part: Part) -> np.ndarray:
+    n = len(part.scale)
+    own, out = np.arange(n), np.zeros(n)
+    weight = np.repeat(w[part.feature], part.size)
+    for a in range(0, len(part.doc), CHUNK):
+        # on top of what there is, so the sums are the same for any chunks
         b = a + CHUNK
-        out += np.bincount(doc[a:b], weights=w[feature[a:b]] * value[a:b], minlength=n)
-    return out
+        out = np.bincount(np.concatenate([own, part.doc[a:b]]), weights=np.concatenate([out, weight[a:b] * part.value[a:b]]), minlength=n)
+    return out * part.scale
 
 
-def sums(w, cuts, doc, feature, value, grade) -> np.ndarray:
+def sums(w, cuts, part: Part) -> np.ndarray:
     """Log likelihood, its gradient by the cuts and by the weights, summed in whole units of 1 / UNIT."""
-    n = len(grade)
-    s = _scores(w, doc, feature, value, n)
+    n, grade = len(part.grade), part.grade
+    s = _scores(w, part)
     below = np.concatenate([np.zeros((n, 1)), _sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
     slope = below * (1 - below)
     row = np.arange(n)
@@ -134,23 +174,27 @@ def sums(w, cuts, doc, feature, value, grade) -> np.ndarray:
     whole = lambda x: np.round(x * UNIT)
     by_cut = [whole(upper[grade == j]).sum() - whole(lower[grade == j + 1]).sum() for j in range(GRADES - 1)]
     by_weight = np.zeros(len(w))
-    for a in range(0, len(doc), CHUNK):
-        b = a + CHUNK
-        by_weight += np.bincount(feature[a:b], weights=whole((lower - upper)[doc[a:b]] * value[a:b]), minlength=len(w))
+    if len(part.doc):
+        pull = (lower - upper) * part.scale * UNIT
+        first = np.cumsum(part.size) - part.size
+        for a in range(0, len(part.doc), CHUNK):
+            b = min(a + CHUNK, len(part.doc))
+            i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b)
+            by_weight[part.feature[i:j]] += np.add.reduceat(np.round(pull[part.doc[a:b]] * part.value[a:b]), np.maximum(first[i:j] - a, 0))
     return np.concatenate([[whole(np.log(p)).sum()], by_cut, by_weight])
 
 
+def _entries(doc, feature, value, grade) -> Part:
+    order, distinct, size = _by_feature(doc, feature)
+    return Part(np.ones(len(grade), np.int8), grade, np.ones(len(grade)), distinct, size, doc[order], value[order])
+
+
 def slopes(w, cuts, doc, feature, value, grade) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the mean log likelihood by the weights and by the cuts."""
-    mean = sums(w, cuts, doc, feature, value, grade) / UNIT / len(grade)
+    mean = sums(w, cuts, _entries(doc, feature, value, grade)) / UNIT / len(grade)
     return mean[GRADES:], mean[1:GRADES]
 
 
-def _short(w: np.ndarray) -> np.ndarray:
-    """w to 16 bits of its fraction, so that it goes with the code of a pass (Spark writes more than 1 MB to disk)."""
-    return (w.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFF00)).view(np.float32)
-
-
 def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts of the greatest penalised likelihood by L-BFGS; total(w, cuts) gives the sums of n documents."""
     # cuts are the first one and the logs of the gaps, so their order can't break
@@ -167,20 +211,20 @@ def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndar
     (now, g), used, past, best = look(x), 1, [], []
     while used < steps and np.abs(g).max() > 1e-7:
         step, held = g.copy(), []
-        for s, y in reversed(past):
-            held.append((s @ step) / (s @ y))
+        for s, y, curve in reversed(past):
+            held.append((s @ step) / curve)
             step -= held[-1] * y
         if past:
-            s, y = past[-1]
-            step *= (s @ y) / (y @ y)
+            s, y, curve = past[-1]
+            step *= curve / np.square(y, dtype=float).sum()
         else:
             step /= max(np.sqrt(step @ step), 1e-12)
-        for (s, y), h in zip(past, reversed(held), strict=True):
-            step += s * (h - (y @ step) / (s @ y))
+        for (s, y, curve), h in zip(past, reversed(held), strict=True):
+            step += s * (h - (y @ step) / curve)
         rise, size = g @ step, 1.0
         while used < steps:
             place = x + size * step
-            place[k:] = _short(place[k:])
+            place[k:] = place[k:].astype(np.float32)  # as passes are sent them
             there, slope = look(place)
             used += 1
             if there >= now + 1e-4 * size * rise:
@@ -190,7 +234,7 @@ def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndar
             break
         moved, turned = place - x, g - slope
         if moved @ turned > 1e-12 * (moved @ moved):
-            past = [*past[-9:], (moved, turned)]
+            past = [*past[1 - HISTORY :], (moved.astype(np.float32), turned.astype(np.float32), moved @ turned)]
         x, now, g = place, there, slope
         best.append(now)
         if len(best) > 5 and best[-1] - best[-6] < ENOUGH:
@@ -199,11 +243,12 @@ def _climb(total, n: int, steps: int, decay: float) -> tuple[np.ndarray, np.ndar
 
 
 def _fit(doc, feature, value, grade, steps=STEPS, decay=DECAY) -> tuple[np.ndarray, np.ndarray]:
-    return _climb(lambda w, cuts: sums(w, cuts, doc, feature, value, grade), len(grade), steps, decay)
+    part = _entries(doc, feature, value, grade)
+    return _climb(lambda w, cuts: sums(w, cuts, part), len(grade), steps, decay)
 
 
-def _tail(w, cuts, doc, feature, value, n):
-    return 1 - _sigmoid(cuts[-1] - _scores(w, doc, feature, value, n))
+def _tail(w, cuts, part: Part) -> np.ndarray:
+    return 1 - _sigmoid(cuts[-1] - _scores(w, part))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
@@ -217,57 +262,57 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Dat
     return docs.select("doc_id", "text").join(small(graded, MAX_IDS), "doc_id").select("grade", "fold", "text")
 
 
-def _pass(of_row, parts: DataFrame, schema: str) -> DataFrame:
-    """of_row over the rows of _parts; one row of its sum a task."""
+def _pass(of_part, parts: DataFrame) -> DataFrame:
+    """of_part over the rows of _parts; one row of its sum a task."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in frames:
-            for row in _read(batch):
-                got = of_row(*row)
-                out = got if out is None else out + got
+            for part in _read(batch):
+                got = of_part(part)
+                if out is None:
+                    out = got
+                else:
+                    out += got
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
-    return parts.mapInArrow(run, schema)
+    return parts.mapInArrow(run, "sums binary")
+
+
+def _numbers(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, fitted ones and clean held-out ones of each row."""
+    for batch in frames:
+        for a, b in zip(batch.column("folds"), batch.column("grades"), strict=True):
+            fold, grade = (np.frombuffer(x.as_buffer(), np.int8) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (len(fold), (fold != 0).sum(), ((fold == 0) & (grade == GRADES - 1)).sum())], names=["everywhere", "fitted", "clean"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
     """The model of all labelled documents among docs, or of most of them where that is given."""
     spark = docs.sparkSession
     parts = stash(labelled(docs, labels, most).mapInArrow(_parts, PART), "labelled")
-    sizes = parts.agg(F.sum(F.length("features") + F.length("counts"))).first()[0]
+    sizes = parts.agg(3 * F.sum(F.length("counts"))).first()[0]  # six bytes an entry
     if sizes is None:
         return Model(np.zeros(1 << BITS, np.float32), np.array([-1.0, 0.0]), 0.0)
     here = list(_read(parts.toArrow())) if sizes <= DRIVER_BYTES else None
     parts = parts.coalesce(min(TASKS, spark.sparkContext.defaultParallelism))
-
-    def over(of_row, fitted=False):
-        """The sum of of_row over all rows, or over those that are fitted."""
-        if here is not None:
-            return sum(of_row(*row) for row in here if not fitted or row[0][0])
-        return sum(np.frombuffer(r["sums"]) for r in _pass(of_row, parts.where(F.substring("folds", 1, 1) != F.lit(b"\0")) if fitted else parts, "sums binary").collect())  # at most TASKS gradients
-
     # the cut-off comes from a fold that the weights have not seen
-    everywhere, fitted, clean = over(lambda fold, grade, doc, feature, value: np.array([len(fold), (fold != 0).sum(), ((fold == 0) & (grade == GRADES - 1)).sum()], float))
+    everywhere, fitted, clean = parts.select("folds", "grades").mapInArrow(_numbers, "everywhere long, fitted long, clean long").agg(*[F.sum(c) for c in ("everywhere", "fitted", "clean")]).first()
     seen = fitted if fitted and clean else everywhere
-    held = seen < everywhere
+    learned = parts.where(F.substring("folds", 1, 1) != F.lit(b"\0")) if seen < everywhere else parts
 
     def total(w, cuts):
-        code = np.ascontiguousarray(_short(w).view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes() if here is None else b""
-        if code:
-            code = zlib.compress(code, 1)
-        cache = []
-
-        def one(fold, grade, doc, feature, value):
-            if code and not cache:
-                full = np.zeros((1 << BITS, 4), np.uint8)
-                full[:, 1:] = np.frombuffer(zlib.decompress(code), np.uint8).reshape(3, -1).T
-                cache.append(full.reshape(-1).view(np.float32).astype(float))
-            return sums(cache[0] if code else own, cuts, doc, feature, value, grade)
-
-        own = w if here is not None else None
-        return over(one, held)
+        if here is not None:
+            return sum(sums(w, cuts, part) for part in here if part.fold[0] or seen == everywhere)
+        sent = spark.sparkContext.broadcast(w.astype(np.float32))
+        try:
+            out = np.zeros(GRADES + len(w))
+            for r in _pass(lambda part: sums(sent.value, cuts, part), learned).collect():  # at most TASKS gradients
+                out += np.frombuffer(r["sums"])
+            return out
+        finally:
+            sent.destroy()
 
     w, cuts = _climb(total, int(seen), STEPS, DECAY)
     least = 0.5
@@ -277,11 +322,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
 
         def tails(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in frames:
-                for fold, grade, doc, feature, value in _read(batch):
-                    tail = _tail(*sent.value, doc, feature, value, len(fold))
-                    yield pa.RecordBatch.from_arrays([pa.array(tail[(fold == 0) & (grade == GRADES - 1)])], names=["tail"])
+                for part in _read(batch):
+                    tail = _tail(*sent.value, part)
+                    yield pa.RecordBatch.from_arrays([pa.array(tail[(part.fold == 0) & (part.grade == GRADES - 1)])], names=["tail"])
 
-        least = parts.mapInArrow(tails, "tail double").agg(F.percentile("tail", F.lit(1 - KEEP_CLEAN))).first()[0]
+        held = parts.where(F.substring("folds", 1, 1) == F.lit(b"\0"))
+        least = held.mapInArrow(tails, "tail double").agg(F.percentile("tail", F.lit(1 - KEEP_CLEAN))).first()[0]
+        sent.destroy()
     return Model(w.astype(np.float32), cuts, least)
 
 

@@ -416,6 +416,29 @@ def test_quality_learns_from_all_labels(spark, monkeypatch):
     assert kept[0] > 2900 and kept.get(1, 0) + kept.get(2, 0) < 300
 
 
+def test_quality_fit_needs_few_passes(monkeypatch):
+    """Real texts, where a fit that looks back on ten steps took 64 passes to -0.06017."""
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select text, case when quality < 1 then 0 when coalesce(toxic, 0) > 0 then 1 else 2 end from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) order by doc_id limit 1500").fetchall()
+    doc, feature, value = quality.features([t for t, _ in rows])
+    grade, passes, sums = np.array([g for _, g in rows]), [], quality.sums
+    monkeypatch.setattr(quality, "sums", lambda *a: passes.append(1) or sums(*a))
+    w, cuts = quality._fit(doc, feature, value, grade)
+    below = np.concatenate([np.zeros((1500, 1)), 1 / (1 + np.exp(np.bincount(doc, weights=w[feature] * value, minlength=1500)[:, None] - cuts[None, :])), np.ones((1500, 1))], axis=1)
+    reached = np.log(below[np.arange(1500), grade + 1] - below[np.arange(1500), grade]).mean() - quality.DECAY * (w @ w) / 2
+    assert len(passes) < 55 and reached > -0.0602
+
+
+def test_quality_is_the_same_for_any_rows(spark, small, monkeypatch):
+    """Features in many small rows and chunks, by passes of Spark, and in few rows on the driver."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    one = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "CHUNK", 3000)
+    monkeypatch.setattr(quality, "DRIVER_BYTES", 0)
+    other = quality.train(docs.repartition(3), labels)
+    assert (one.weights == other.weights).all() and (one.cuts == other.cuts).all() and one.least == other.least
+
+
 def test_near_classes_of_weighted_texts(spark):
     """Weights are counts: repeated passages tell texts apart that have the same set."""
     r = random.Random(8)
