@@ -439,6 +439,18 @@ def test_quality_is_the_same_for_any_rows(spark, small, monkeypatch):
     assert (one.weights == other.weights).all() and (one.cuts == other.cuts).all() and one.least == other.least
 
 
+def test_quality_gradients_reach_the_driver_packed(spark, small):
+    """A pass sends back its whole sums, in far less than the eight bytes a weight that filled the driver's heap."""
+    whole = np.concatenate([[0.0, -1, 1, -(2.0**53), 2.0**53], np.round(np.random.default_rng(3).normal(size=99) * 1e9)])
+    assert (quality._unpacked(pa.array([quality._packed(whole)], pa.binary())[0]) == whole).all()
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    parts = quality.stash(quality.labelled(docs, labels).mapInArrow(quality._parts, quality.PART), "labelled")
+    w, cuts = np.zeros(1 << quality.BITS, np.float32), np.array([-1.0, 1.0])
+    sent = quality._pass(lambda part: quality.sums(w, cuts, part), parts).toArrow()["sums"]
+    assert max(len(x.as_buffer()) for x in sent) < 1 << quality.BITS
+    assert (sum(map(quality._unpacked, sent)) == sum(quality.sums(w, cuts, part) for part in quality._read(parts.toArrow()))).all()
+
+
 def test_near_classes_of_weighted_texts(spark):
     """Weights are counts: repeated passages tell texts apart that have the same set."""
     r = random.Random(8)
