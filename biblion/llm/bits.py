@@ -30,6 +30,15 @@ def key_bits(rows: DataFrame, column: str, keys: int, least: int = LEAST, most:
     return out
 
 
+def bits_of(keys: np.ndarray, least: int = LEAST, most: int = MOST) -> np.ndarray:
+    """The same for keys that are on the driver."""
+    size = size_bits(len(keys), least, most)
+    slot = keys & np.uint64((1 << size) - 1)
+    out = np.zeros(1 << size - 6, np.uint64)
+    np.bitwise_or.at(out, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    return out
+
+
 def passing(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether each key may be one that was put in."""
     slot = key & np.uint64(len(bits) * 64 - 1)

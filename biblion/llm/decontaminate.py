@@ -3,14 +3,15 @@
 A benchmark item is cut into windows of WINDOW words (an item of fewer words is one window). A window is a set
 of word shingles (SHINGLE words each, fewer where the window is shorter). Containment must be total, so one
 shingle is a sufficient prefix: the window's rarest by its count over all documents. A window of which any
-shingle never occurs cannot occur and is dropped. Documents emit a row for each place of a prefix shingle,
-with the words around it; these rows join the windows on the shingle, pass the positional bound (the window
-must begin inside the document) and the length bound (and end inside it), and are verified word by word.
+shingle never occurs cannot occur and is dropped. Places of prefix shingles in documents join the windows on
+the shingle, pass the positional bound (the window must begin inside the document) and the length bound (and
+end inside it), and are verified word by word.
 
 What reaches every task is a bit array of 128 bits a shingle, 2 MB to 32 MB (bits.py); a bit that is set by chance
-costs a row that the join then drops. The window side of the join is broadcast only when it has
-MAX_BROADCAST_ROWS rows or fewer, else the join is shuffled and AQE splits hot shingles. Rows grow with the
-occurrences of prefix shingles, one for each place, not with pairs of documents.
+costs a place that the join then drops. Up to MAX_BROADCAST_ROWS windows of MAX_BROADCAST_BYTES are broadcast too:
+the tasks that read the documents join and verify, PAIRS pairs at a time, and give a row a document, however often a
+passage occurs. More windows are joined by a shuffle, whose hot shingles AQE splits: documents then emit a row for
+each place of a prefix shingle, with the words around it, PAIRS rows at a time. Both give the same rows.
 
 Edge cases. Null or empty text has no words: n_words 0, no hit. An item without words has no window. Repeated
 items, and windows that several items share, name all their items. Null item_ids are left out of the list.
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblion.llm import textvec as tv
-from biblion.llm.bits import key_bits, passing
+from biblion.llm.bits import bits_of, key_bits, passing
 from biblion.llm.identity import drop_rows, keyed, text_key
-from biblion.llm.shared import small, stash, table
+from biblion.llm.shared import stash, table
 
-WINDOW, SHINGLE, MAX_BROADCAST_ROWS, LEAST_BITS = 10, 3, 50_000, 24
+WINDOW, SHINGLE, LEAST_BITS = 10, 3, 24
+#: Windows that are broadcast, and bytes of their words and item_ids.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 50_000, 16 << 20
+#: Pairs of a place and a window, or rows of places, that a task holds at once; a place's own windows are never parted.
+PAIRS = 1 << 16
 
 
 def _fingerprints(fp: np.ndarray, size: int) -> np.ndarray:
@@ -93,9 +98,87 @@ def _counts(sizes, bits):
     return run
 
 
+def _known(prefix: DataFrame) -> tuple:
+    """Windows by prefix shingle: fingerprints, where the windows of each start, offsets, word numbers, words (each with a space after it), items, bits."""
+    got = prefix.select("fp", "offset", "n", "window", "items").toArrow().combine_chunks()
+    fp = got.column("fp").to_numpy().view(np.uint64)
+    order = np.argsort(fp, kind="stable")
+    fps, start = np.unique(fp[order], return_index=True)
+    offset, n = (got.column(c).to_numpy().astype(np.int64)[order] for c in ("offset", "n"))
+    window, items = got.column("window").to_pylist(), got.column("items").to_pylist()
+    return fps, np.append(start, len(fp)), offset, n, [window[i].encode() + b" " for i in order], [items[i] for i in order], bits_of(fps, LEAST_BITS)
+
+
+def _line(buf: np.ndarray) -> bytes:
+    """The words of the buffer, each with a space after it."""
+    inside = tv.ALNUM[buf]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # every text ends with a line feed
+    return np.where(inside, buf, np.uint8(0x20))[kept].tobytes()
+
+
+def _portions(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes add up to most; what is larger by itself is a range of its own."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + most, "right")))
+        yield a, b
+        a = b
+
+
+def _found(buf, starts, sizes, known):
+    """First word of each document, and of each window found: document, number, first word, end."""
+    fps, start, offset, n, window, _, bits = known
+    s, e, first, at, fp = _places(buf, starts, sizes, bits)
+    slot = np.searchsorted(fps, fp)
+    real = np.flatnonzero(fps[np.minimum(slot, len(fps) - 1)] == fp) if len(fps) else np.zeros(0, np.int64)
+    at, slot = at[real], slot[real]
+    out = [np.zeros((4, 0), np.int64)]
+    if len(at):
+        line, place = _line(buf), np.concatenate([[0], np.cumsum(e - s + 1)])
+        length = np.fromiter(map(len, window), np.int64, len(window))
+        doc = np.searchsorted(first, at, "right") - 1
+    for a, b in _portions(start[slot + 1] - start[slot], PAIRS):
+        k, own = tv.ragged(start[slot[a:b]], start[slot[a:b] + 1])
+        d, begin = doc[a:b][own], at[a:b][own] - offset[k]
+        end = begin + n[k]
+        fits = np.flatnonzero((begin >= first[d]) & (end <= first[d + 1]))
+        fits = fits[place[end[fits]] - place[begin[fits]] == length[k[fits]]]
+        d, k, begin, end = d[fits], k[fits], begin[fits], end[fits]
+        same = [line[x:y] == window[w] for x, y, w in zip(place[begin].tolist(), place[end].tolist(), k.tolist(), strict=True)]
+        out.append(np.stack([d, k, begin, end])[:, np.array(same, bool)])
+    return first, np.concatenate(out, axis=1)
+
+
+JUDGED = "doc_id long, text_key long, n_words long, n_hit long, items array<string>"
+
+
+def _judged(sizes, known):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = known.value[5]
+        for ids, texts, keys in keyed(frames):
+            first, (d, k, begin, end) = _found(*tv.join(texts), sizes, known.value)
+            # windows open at each word, then hit words before each word
+            depth = np.cumsum(np.bincount(begin, minlength=first[-1] + 1) - np.bincount(end, minlength=first[-1] + 1))
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(depth > 0)])[first])
+            named: list[set] = [set() for _ in ids]
+            for x in np.unique(d * len(items) + k).tolist():
+                named[x // len(items)].update(items[x % len(items)])
+            whole = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(map(str, x)) for x in named], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(whole, names=[x.split()[0] for x in JUDGED.split(", ")])
+
+    return run
+
+
 CANDIDATE = "row long, doc_id long, text_key long, n_words long, fp long, place int, around_from int, around string"
 
 
+def _rows(*columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names = [x.split() for x in CANDIDATE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
 def _candidates(sizes, bits, window):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -104,27 +187,43 @@ def _candidates(sizes, bits, window):
             s, e, first, at, found = _places(buf, starts, sizes, bits.value)
             rows = np.arange(row, row + len(ids))
             row += len(ids)
-            n_words = np.diff(first)
-            doc = np.searchsorted(first, at, "right") - 1
-            low = np.maximum(first[doc], at - window + 1)
-            high = np.minimum(first[doc + 1], at + window)
-            around = [b" ".join(bytes(buf[s[i] : e[i]]) for i in range(a, b)).decode() for a, b in zip(low, high, strict=True)]
-            none = len(ids)
-            whole = [
-                pa.array(np.concatenate([rows, rows[doc]])),
-                pa.array([*ids, *(ids[d] for d in doc)], pa.int64()),
-                pa.array([*keys, *(keys[d] for d in doc)], pa.int64()),
-                pa.array(np.concatenate([n_words, n_words[doc]])),
-                pa.array([*[None] * none, *found.view(np.int64).tolist()], pa.int64()),
-                pa.array([*[None] * none, *(at - first[doc]).tolist()], pa.int32()),
-                pa.array([*[None] * none, *(low - first[doc]).tolist()], pa.int32()),
-                pa.array([*[None] * none, *around], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(whole, names=[x.split()[0] for x in CANDIDATE.split(", ")])
+            yield _rows(rows, ids, keys, np.diff(first), *[[None] * len(ids)] * 4)
+            for a in range(0, len(at), PAIRS):
+                here, fps = at[a : a + PAIRS], found[a : a + PAIRS]
+                doc = np.searchsorted(first, here, "right") - 1
+                low = np.maximum(first[doc], here - window + 1)
+                high = np.minimum(first[doc + 1], here + window)
+                around = [b" ".join(bytes(buf[s[i] : e[i]]) for i in range(x, y)).decode() for x, y in zip(low, high, strict=True)]
+                yield _rows(rows[doc], [ids[d] for d in doc], [keys[d] for d in doc], np.diff(first)[doc], fps.view(np.int64), here - first[doc], low - first[doc], around)
 
     return run
 
 
+def _by_shuffle(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """The columns of JUDGED, for any number of windows."""
+    rare = prefix.select("fp").distinct()
+    few = docs.sparkSession.sparkContext.broadcast(key_bits(rare, "fp", rare.count(), LEAST_BITS))
+    rows = stash(docs.mapInArrow(_candidates(sizes, few, window), CANDIDATE), "candidates")
+
+    begin = F.col("place") - F.col("offset")
+    fits = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("around", " "), begin - F.col("around_from") + 1, F.col("n")), " ") == F.col("window")
+    hits = rows.where("fp is not null").join(prefix, "fp").where(fits).where(same)
+    # the words of a document that lie in any span, added up over the spans in order of their start
+    spans = F.sort_array(F.collect_set(F.struct(begin.alias("a"), (begin + F.col("n")).alias("b"))))
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
+        lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.b - F.greatest(acc.to, x.a))).cast("long").alias("n"), F.greatest(acc.to, x.b).alias("to")),
+        lambda acc: acc.n,
+    )
+    hits = hits.groupBy("row").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hits = hits.select("row", covered.alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.where("fp is null").join(hits, "row", "left").select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), items.alias("items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, text_key."""
     spark = docs.sparkSession
@@ -143,34 +242,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prefix = places.groupBy("window").agg(F.min(F.struct("often", "place", "fp")).alias("rare"), F.count("*").alias("there"), F.first("size").alias("size"))
     prefix = prefix.where("there = size").select("window", F.col("rare.place").alias("offset"), F.col("rare.fp").alias("fp"))
     prefix = stash(prefix.join(windows.drop("fps"), "window"), "prefixes")
-    joined, rare = small(prefix, MAX_BROADCAST_ROWS), prefix.select("fp").distinct()
-    few = spark.sparkContext.broadcast(key_bits(rare, "fp", rare.count(), LEAST_BITS))
-    rows = stash(docs.mapInArrow(_candidates(sizes, few, window), CANDIDATE), "candidates")
-
-    begin = F.col("place") - F.col("offset")
-    fits = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
-    same = F.array_join(F.slice(F.split("around", " "), begin - F.col("around_from") + 1, F.col("n")), " ") == F.col("window")
-    hits = rows.where("fp is not null").join(joined, "fp").where(fits).where(same)
-    # the words of a document that lie in any span, added up over the spans in order of their start
-    spans = F.sort_array(F.collect_set(F.struct(begin.alias("a"), (begin + F.col("n")).alias("b"))))
-    covered = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
-        lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.b - F.greatest(acc.to, x.a))).cast("long").alias("n"), F.greatest(acc.to, x.b).alias("to")),
-        lambda acc: acc.n,
-    )
-    hits = hits.groupBy("row").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    hits = hits.select("row", covered.alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.where("fp is null").join(hits, "row", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "text_key"
-    )
+    there = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window") + 8 * F.size("items")), F.lit(0))).first()
+    if there[0] <= MAX_BROADCAST_ROWS and there[1] <= MAX_BROADCAST_BYTES:
+        judged = docs.mapInArrow(_judged(sizes, spark.sparkContext.broadcast(_known(prefix))), JUDGED)
+    else:
+        judged = _by_shuffle(docs, prefix, sizes, window)
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "text_key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a word of a benchmark window, all their columns as they are."""
-    return drop_rows(docs, decontaminate(docs, benchmark, **options).where("contaminated"))
+    found = decontaminate(docs, benchmark, **options).where("contaminated").select("doc_id", "text_key")
+    return drop_rows(docs, stash(found, "contaminated"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

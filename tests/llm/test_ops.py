@@ -39,6 +39,57 @@ def test_equals_sql(spark, small, name):
     assert rows == sorted(tuple(map(str, r)) for r in found.fetchall())
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _passages(spark):
+    """Documents and benchmark with a passage that is in most documents, often or cut, and windows that share shingles."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice(["the", "the", "of", "and", "Ünd", "x1"]) for _ in range(n))
+    hot = "one of the many the the the passages that Are in the most of these texts, again; and again é 日本 done"
+    items = [(1, hot), (2, hot), (None, hot), (3, "the the the"), (4, some(14)), (5, some(30)), (-6, "the"), (7, hot.upper() + " " + some(5)), (8, "nowhere at all"), (9, None), (10, "...")]
+    docs = [(i, [some(40), (hot + ". ") * 30, some(9) + "\n" + hot + "  " + some(9), hot[:70] + some(3), hot.replace(" ", "\t-"), None, "", hot[9:] + "\n\n" + hot][i % 8]) for i in range(160)]
+    windows: dict = collections.defaultdict(set)
+    for item, text in items:
+        w = WORD.findall((text or "").translate(LOWER))
+        for i in range(max(len(w) - 9, 1) if w else 0):
+            windows[tuple(w[i : i + 10])].add(item)
+    want = {}
+    for i, text in docs:
+        w = WORD.findall((text or "").translate(LOWER))
+        found = [(a, n, windows[tuple(w[a : a + n])]) for n in {len(k) for k in windows} for a in range(len(w) - n + 1) if tuple(w[a : a + n]) in windows]
+        want[i] = (len(w), len({j for a, n, _ in found for j in range(a, a + n)}), sorted({str(x) for *_, s in found for x in s if x is not None}))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), want
+
+
+@pytest.mark.parametrize(("rows", "size", "pairs"), [(50_000, 1 << 24, 1 << 16), (50_000, 1 << 24, 7), (3, 1 << 24, 1 << 16), (50_000, 3, 7)])
+def test_decontaminate_equals_brute_force(spark, monkeypatch, rows, size, pairs):
+    docs, benchmark, want = _passages(spark)
+    for name, value in (("MAX_BROADCAST_ROWS", rows), ("MAX_BROADCAST_BYTES", size), ("PAIRS", pairs)):
+        monkeypatch.setattr(decontaminate, name, value)
+    monkeypatch.setattr(decontaminate, "_judged", lambda *a, f=decontaminate._judged: _with_pairs(f(*a), pairs))
+    monkeypatch.setattr(decontaminate, "_candidates", lambda *a, f=decontaminate._candidates: _with_pairs(f(*a), pairs))
+    got = decontaminate.decontaminate(docs, benchmark).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want
+    assert all(r.n_items == len(r["items"]) and r.contaminated == (r.n_hit > 0) for r in got) and sum(r.n_hit > 100 for r in got) >= 20
+
+
+def _with_pairs(run, pairs):
+    def other(frames):
+        decontaminate.PAIRS = pairs  # in the worker
+        yield from run(frames)
+
+    return other
+
+
+def test_decontaminate_writes_no_row_for_each_place_of_a_common_passage(spark, monkeypatch):
+    docs, benchmark, want = _passages(spark)
+    written = []
+    monkeypatch.setattr(decontaminate, "stash", lambda df, name, f=decontaminate.stash: (written.append(out := f(df, name)), out)[1])
+    assert decontaminate.decontaminate(docs, benchmark).count() == len(want)
+    assert sum(x.count() for x in written) < 200  # windows; places of the passage's shingles are some 20,000
+
+
 def test_word_fingerprints_are_distinct(texts):
     for word, pattern in ((textvec.SOLID, r"[^\x20\x09-\x0D]+"), (textvec.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
         buf, _ = textvec.join([t for _, t in texts])
