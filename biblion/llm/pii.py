@@ -14,7 +14,8 @@ attempt LONGER on, surrogates grow by a character each time, so a format with fe
 
 Work. One pass over the texts marks the entities and writes the texts; all that follows reads the marks. Entities
 of equal texts are found once for the text's digest, and the part table has a row for each distinct part, so a hot
-entity or a hot text is pre-aggregated. Only texts with entities are joined; nothing is per pair.
+entity or a hot text is pre-aggregated. Only texts with entities are joined; nothing is per pair. Entities and
+surrogates are made in many tasks and written in few files.
 
 Edge cases. Null text stays null, with no entity; empty and very long texts are treated alike, the pattern
 has no nested repetition. Parts without a letter or digit get letters. Letters of scripts that have no list
@@ -32,6 +33,8 @@ from biblion.llm.shared import stash, table
 KEY = "biblion"
 #: Attempt from which on surrogates get longer.
 LONGER = 5
+#: Tasks whose narrow rows go to one file.
+TASKS_A_FILE = 16
 
 # Forms of address by gender, and what names are made of.
 MALE, FEMALE, NEUTRAL = ("Mr.", "Mister", "Herr", "Monsieur", "Señor", "Sr.", "г-н"), ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "г-жа"), ("Dr.", "Prof.", "Mx.")
@@ -258,26 +261,32 @@ def _render(kind: Column, raw: Column, own: Column) -> Column:
     return F.when(capital, F.upper(own)).when(kind.isin("phone", "card", "national"), numbers).when(kind == "iban", account).when(kind.isin("mailbox", "domain", "given_m", "given_f", "given_n", "family"), cased).otherwise(own)
 
 
+def _few(rows: DataFrame, tasks: int, name: str) -> DataFrame:
+    """Narrow rows that many tasks have made, in few files: each costs a folder and, on local disks, three processes that an executor forks."""
+    return stash(rows.repartition(max(1, tasks // TASKS_A_FILE)), name)
+
+
 def part_map(parts: DataFrame, key: str = KEY) -> DataFrame:
     """Distinct parts (kind, canon) -> (kind, canon, own), own distinct within a kind and never a real part."""
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo, done = stash(parts.distinct().withColumn("attempt", F.lit(0)), "parts"), None
-    real = todo.select("kind", F.col("canon").alias("own"))
+    todo, real, done = parts.distinct().withColumn("attempt", F.lit(0)), None, None
     while True:
         # a number of tasks is named, else few narrow rows would be put together in one, and a surrogate is long work
-        tried = stash(surrogates(todo.repartition(tasks, "kind", "canon"), key), "surrogates")
+        tried = _few(surrogates(todo.repartition(tasks, "kind", "canon"), key), tasks, "surrogates")
+        real = real or tried.select("kind", F.col("canon").alias("own"))
         taken = real.where("kind <> 'mailbox'").union(real.where("kind = 'mailbox'").select("kind", F.substring_index("own", "@", 1)))
         if done is not None:
             taken = taken.union(done.select("kind", "own"))
         first = tried.groupBy("kind", "own").agg(F.min("canon").alias("first"))
         free = first.join(taken.distinct(), ["kind", "own"], "left_anti")
-        tried = stash(tried.join(free, ["kind", "own"], "left").withColumn("ok", F.coalesce(F.col("canon") == F.col("first"), F.lit(False))).drop("first"), "tried")
-        good = tried.where("ok").select("kind", "canon", "own")
+        ok = F.coalesce(F.col("canon") == F.col("first"), F.lit(False))
+        # only those that try again are written, most often few
+        todo = stash(tried.join(free, ["kind", "own"], "left").where(~ok).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "again")
+        ended = not todo.limit(1).count()
+        good = (tried if ended else tried.join(todo, ["kind", "canon"], "left_anti")).select("kind", "canon", "own")
         done = good if done is None else done.unionByName(good)
-        bad = tried.where("not ok").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        if not bad.limit(1).count():
+        if ended:
             return done
-        todo = bad
 
 
 def marked(text: Column) -> Column:
@@ -302,11 +311,12 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     dirty = rows.where("digest is not null")
     found = dirty.select("digest", F.posexplode("pieces").alias("pos", "entity")).where("pos % 2 = 1").distinct()
     # taking an entity apart is long work for a short row, so a number of tasks is named here too
-    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "pos")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(tasks, "digest", "pos")
     found = found.withColumn("kind", F.coalesce(kind_of(F.col("entity")), F.lit("hex")))
     found = found.where((F.col("kind") != "card") | (_luhn_sum(_digits(F.col("entity"))) % 10 == 0))
     found = found.select("digest", "pos", F.col("kind").alias("entity_kind"), F.posexplode(parts_of(F.col("entity"), F.col("kind"))).alias("part", "p"))
-    found = stash(found.select("digest", "pos", "entity_kind", "part", "p.*"), "entities")
+    found = _few(found.select("digest", "pos", "entity_kind", "part", "p.*"), tasks, "entities")
     own = part_map(found.where("canon is not null").select("kind", "canon"), key)
     said = found.join(own, ["kind", "canon"], "left")
     said = said.withColumn("said", F.when(F.col("canon").isNull(), F.col("raw")).otherwise(_render(F.col("kind"), F.col("raw"), F.col("own"))))

@@ -343,6 +343,20 @@ def test_pii_keeps_distinct(spark):
     assert sorted(got) != sorted(r.text for r in pii.replace_entities(df, key="other").collect())
 
 
+def test_pii_writes_narrow_rows_in_few_files(spark, monkeypatch):
+    """As many tasks as named take entities apart and make surrogates, but few files are written; some parts make more attempts."""
+    df = spark.createDataFrame([(i, f"at 1.2.{i // 9}.{i % 9} or {i}@y.com and {i % 10}@z.org now") for i in range(81)], "doc_id long, text string")
+    want, files = sorted(map(tuple, pii.replace_entities(df).collect())), []
+    monkeypatch.setattr(pii, "stash", lambda rows, name, f=pii.stash: (out := f(rows, name), files.append((name, len(out.inputFiles()))))[0])
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        assert sorted(map(tuple, pii.replace_entities(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert sum(name == "again" for name, _ in files) > 1 and all(n <= 3 for name, n in files if name != "pieces"), files  # 48 a table before
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
