@@ -382,6 +382,17 @@ def test_url_filter_with_a_long_list(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *(max(fit)[1:] if fit else (None, "allow")))
 
 
+def test_url_filter_has_the_verdicts_of_its_contract(spark, tmp_path):
+    urls = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://example.com/en/1": ("com/en/", "block"),
+        "http://a.net/de/1": ("net/de/", "allow"), "http://www.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/1": ("net/de/", "allow"),
+        "http://a.org/es/1": ("org/es/", "block"), "http://a.net/en/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     words, blocks = url_filter.bloom(keys, 2000)
