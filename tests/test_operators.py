@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from biblion.operators import cache, evaluate, fixes, hygiene, joins, resolve, sinks, support, verdict
+from biblion.operators import cache, evaluate, fixes, grams, hygiene, joins, resolve, sinks, support, verdict
 from biblion.sources import registries
 from biblion.streaming import ttl
 
@@ -178,6 +178,29 @@ def test_close_texts_are_all_there(spark, monkeypatch):
         assert len(want) > 100 and len(got) == len(want) and {(r.a, r.b, r.text_a, r.text_b) for r in got} == want
 
 
+def test_few_pairs_are_measured(monkeypatch):
+    """Texts of one vocabulary in any order: the places of letter pairs leave few of all pairs to be measured, and every
+    close one is among those found."""
+    from biblion.functions.similarity import edit_distance
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9))) for _ in range(150)] + ["the", "of"] * 20
+    a = sorted({" ".join(rng.choice(words) for _ in range(12)) for _ in range(150)})
+    b = sorted({" ".join(rng.choice(words) for _ in range(12)) for _ in range(130)} | {t[: 9 * i % 50] + "xyz"[: i % 4] + t[9 * i % 50 + i % 7 :] for i, t in enumerate(a[:60])})
+    measured = []
+
+    def counted(f):
+        return lambda self, i, j, *more: measured.append(len(i)) or f(self, i, j, *more)
+
+    for name in ("edits", "near"):
+        monkeypatch.setattr(grams.Letters, name, counted(getattr(grams.Letters, name, None)), raising=False)
+    got = {(int(i), int(j)) for p, q in grams.within(a, b, 0.85, 2) for i, j in zip(p, q)}
+    close = lambda x, y: min(len(x), len(y)) >= 0.85 / 1.15 * max(len(x), len(y)) and edit_distance(x, y) <= int(0.15 * (len(x) + len(y)))
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if len((set(x.split()) & set(y.split()))) > 1 and close(x, y)}
+    assert len(want) >= 60 and want <= got and all(close(a[i], b[j]) for i, j in got)
+    assert sum(measured) < 0.1 * len(a) * len(b), sum(measured) / len(a) / len(b)
+
+
 def test_equal_texts_are_one_class(spark):
     """Pairs of classes do not grow with the copies of a text."""
     rows = [(i, 1, "large ring") for i in range(5000)] + [(9000 + i, 1, "large rings") for i in range(5000)] + [(20_000, 2, "large ring"), (20_001, None, "large ring")]
