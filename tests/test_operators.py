@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from biblion.operators import cache, evaluate, fixes, grams, hygiene, joins, resolve, sinks, support, verdict
+from biblion.operators import cache, evaluate, fixes, grams, hygiene, joins, resolve, scoring, sinks, support, verdict
 from biblion.sources import registries
 from biblion.streaming import ttl
 
@@ -201,6 +201,24 @@ def test_few_pairs_are_measured(monkeypatch):
     assert sum(measured) < 0.1 * len(a) * len(b), sum(measured) / len(a) / len(b)
 
 
+def test_checks_are_made_once_for_every_two_that_meet(spark, monkeypatch):
+    made = {}
+    written = scoring.stash
+    monkeypatch.setattr(scoring, "stash", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    person = lambda name: [{"family": name, "given": "Ann", "literal": None}]
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    entries = spark.createDataFrame([(f"e{i}", f"A study of {'useful' if i % 2 else 'other'} things", person("Lee" if i % 3 else "Roe")) for i in range(60)] + [("e0", None, None)], "key string, title string, authors array<struct<family:string,given:string,literal:string>>")
+    entries = entries.select("*", no.alias("truncated"), F.lit(2001).alias("year"), F.lit("Journal of Things").alias("venue"), no.alias("venue_named"), no.alias("journal"), none.alias("volume"), none.alias("first_page"), F.array().cast("array<string>").alias("issns"), none.alias("doi"), F.lit("article").alias("entry_type"))
+    records = spark.createDataFrame([("crossref", f"r{i}", "A study of useful things", person("Lee")) for i in range(20)], "source string, source_id string, title string, authors array<struct<family:string,given:string,literal:string>>")
+    records = records.select("*", F.array().cast("array<string>").alias("alt_titles"), F.lit(True).alias("authors_complete"), F.lit(True).alias("authors_ordered"), F.array(F.lit(2001)).alias("years"), F.lit("Journal of Things").alias("venue"), none.alias("work_type"), none.alias("volume"), none.alias("doi"), no.alias("reissue"), F.array().cast("array<string>").alias("issns"))
+    pairs = entries.select("key").distinct().crossJoin(records.select("source", "source_id")).withColumn("role", F.lit("candidate"))
+    rows = scoring.score_pairs(pairs, entries, records, 2024).collect()
+    # a key of two entries meets each record with both, the one without a title too
+    assert len(rows) == 61 * 20 and sum(r.t.status == "unknown" for r in rows) == 20
+    assert all((r.t.status, r.a.status) == ("match" if "useful" in r.title else "mismatch", "match" if r.authors[0].family == "Lee" else "mismatch") for r in rows if r.title)
+    assert [t.count() for t in made["checks"]] == [3, 3]
+
+
 def test_equal_texts_are_one_class(spark):
     """Pairs of classes do not grow with the copies of a text."""
     rows = [(i, 1, "large ring") for i in range(5000)] + [(9000 + i, 1, "large rings") for i in range(5000)] + [(20_000, 2, "large ring"), (20_001, None, "large ring")]
